@@ -3,17 +3,22 @@
 from .common import table
 from .mix import mix_sizes
 from .shard import shard_documents
+from .simhash import simhash_documents
 
 
 def op1_mix_sources(spark, sf_dir):
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_tiles(spark, sf_dir):
+    return simhash_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op8_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_simhash_tiles, op8_feistel_shards)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
