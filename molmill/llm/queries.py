@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and their SQL."""
 
 from .common import table
+from .decontam import contamination
 from .mix import mix_sizes
 from .shard import shard_documents
 from .simhash import simhash_documents
@@ -10,6 +11,10 @@ def op1_mix_sources(spark, sf_dir):
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_winnow_benchmark(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_tiles(spark, sf_dir):
     return simhash_documents(table(spark, sf_dir, "documents"))
 
@@ -18,7 +23,7 @@ def op8_feistel_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_simhash_tiles, op8_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_winnow_benchmark, op6_simhash_tiles, op8_feistel_shards)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
@@ -48,5 +53,29 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
        CAST(d.size * (b.whole + CASE WHEN d.position < coalesce(e.threshold, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
        CAST(b.whole + CASE WHEN d.position < coalesce(e.threshold, 0) THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+""",
+    "op4_winnow_benchmark": r"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+ig AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)),
+dg AS (
+  SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n)),
+m AS (SELECT dg.rid, dg.i, dg.n, ig.item_id FROM dg JOIN ig ON dg.n = ig.n AND dg.gram = ig.gram),
+h AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+t AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """,
 }
