@@ -3,6 +3,7 @@
 from .common import table
 from .decontam import contamination
 from .mix import mix_sizes
+from .quality import quality_scores
 from .shard import shard_documents
 from .simhash import simhash_documents
 
@@ -19,11 +20,15 @@ def op6_simhash_tiles(spark, sf_dir):
     return simhash_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_nbsvm(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_feistel_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_winnow_benchmark, op6_simhash_tiles, op8_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_winnow_benchmark, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
