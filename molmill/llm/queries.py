@@ -2,6 +2,7 @@
 
 from .common import table
 from .decontam import contamination
+from .lm import lm_scores
 from .mix import mix_sizes
 from .quality import quality_scores
 from .shard import shard_documents
@@ -12,6 +13,10 @@ def op1_mix_sources(spark, sf_dir):
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_winnow_benchmark(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +33,7 @@ def op8_feistel_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_winnow_benchmark, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_lm_scores, op4_winnow_benchmark, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
