@@ -1,18 +1,31 @@
 """The registered queries of this subpackage, and their SQL."""
 
+from pyspark.sql import functions as F
+
+from .chat import preference_pairs
 from .common import table
 from .decontam import contamination
+from .license import license_scan
 from .lm import lm_scores
 from .mix import mix_sizes
 from .quality import quality_scores
 from .shard import shard_documents
 from .simhash import simhash_documents
+from .tokens import token_histogram
 
 
 def op1_mix_sources(spark, sf_dir):
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_preference_pairs(spark, sf_dir):
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    got = preference_pairs(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 1)
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["first"], F.lit("-"), s["last"])), ",").alias(c)
+    return got.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
+
+
 def op3_lm_scores(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -21,6 +34,10 @@ def op4_winnow_benchmark(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_index(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_simhash_tiles(spark, sf_dir):
     return simhash_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +50,15 @@ def op8_feistel_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_lm_scores, op4_winnow_benchmark, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards)}
+def op9_token_histogram(spark, sf_dir):
+    return token_histogram(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
+    )
+}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
@@ -87,5 +112,29 @@ t AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+""",
+    "op2_preference_pairs": r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (
+  SELECT pair_id, max(CASE WHEN side = 0 THEN nth ELSE 0 END) AS cs, max(CASE WHEN side = 1 THEN nth ELSE 0 END) AS rs FROM t GROUP BY pair_id),
+d AS (
+  SELECT a.pair_id, min(a.nth) AS first_other FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.nth = b.nth AND a.side = 0 AND b.side = 1
+  WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),
+k AS (SELECT n.*, CAST(coalesce(first_other - 1, least(cs, rs)) AS BIGINT) AS n_prefix FROM n LEFT JOIN d USING (pair_id)),
+r AS (
+  SELECT t.*, k.n_prefix, nth > n_prefix AS own, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS line, length(role) + 5 AS head
+  FROM t JOIN k USING (pair_id)),
+s AS (
+  SELECT *, sum(CASE WHEN own THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY nth ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT pair_id, any_value(n_prefix) AS n_prefix,
+       coalesce(string_agg(line, '' ORDER BY nth) FILTER (WHERE NOT own AND side = 0), '') AS prompt,
+       CASE WHEN count(*) FILTER (WHERE side = 0) > 0 THEN coalesce(string_agg(line, '' ORDER BY nth) FILTER (WHERE own AND side = 0), '') END AS chosen,
+       CASE WHEN count(*) FILTER (WHERE side = 1) > 0 THEN coalesce(string_agg(line, '' ORDER BY nth) FILTER (WHERE own AND side = 1), '') END AS rejected,
+       CASE WHEN count(*) FILTER (WHERE side = 0) > 0 THEN coalesce(string_agg(concat(CAST(upto - length(line) + head AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY nth) FILTER (WHERE own AND side = 0 AND role = 'assistant'), '') END AS chosen_spans,
+       CASE WHEN count(*) FILTER (WHERE side = 1) > 0 THEN coalesce(string_agg(concat(CAST(upto - length(line) + head AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY nth) FILTER (WHERE own AND side = 1 AND role = 'assistant'), '') END AS rejected_spans
+FROM s GROUP BY pair_id
 """,
 }
