@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and their SQL."""
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from .chat import preference_pairs
@@ -58,7 +59,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
