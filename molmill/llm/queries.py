@@ -3,6 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from .bm25 import top_documents
 from .chat import preference_pairs
 from .common import table
 from .decontam import contamination
@@ -55,9 +56,15 @@ def op9_token_histogram(spark, sf_dir):
     return token_histogram(table(spark, sf_dir, "documents"))
 
 
+def op10_bm25_wand(spark, sf_dir):
+    """Queries: the documents whose id is divisible by 20, whole."""
+    return top_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).drop("query_row")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
+        op10_bm25_wand,
     )
 } | {"pipeline": corpus_pipeline.run}
 
