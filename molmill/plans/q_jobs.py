@@ -252,3 +252,9 @@ def t3_generation_cycles(spark, d):
     assert [w.rsplit("_", 1)[1] for w in written] == ["3"]  # the first two were there
     rows = spark.read.text([f"{at}/cycle_{c}" for c in (1, 2, 3)]).select(F.regexp_extract(F.col("_metadata.file_path"), "cycle_([0-9]+)", 1).cast("int").alias("cycle"))
     return rows.groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, turn, generate_subscripts(p, 1) - 1 AS nth, unnest(p) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p FROM conversations) t")
+def x6_block_to_rows(spark, d):
+    each = view(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    return each.withColumn("nth", F.col("nth").cast("long"))
