@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import remainder, scratch, spaced_words, summed
 
@@ -66,7 +67,12 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, head_words: int):
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
         self.tokens, self.distinct = int(total[0]), int(total[1])
-        head = counts.orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(head_words).collect()
+        # The least count that no more than head_words words reach. There are far fewer different counts than words.
+        upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+        reached = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto).where(F.col("upto") <= head_words)
+        least = reached.agg(F.min("n")).head()[0]
+        frequent = (F.col("n") >= least) if least is not None else F.lit(False)
+        head = sorted(counts.where(frequent | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
         words = [bytes(r[0]) for r in head]
         n = np.array([r[1] for r in head], dtype=np.float64)
         own = [END, *[w for w in words if w != END][: WORDS - 1]]
