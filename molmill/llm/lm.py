@@ -16,6 +16,7 @@ all of them instead of by samples.
 import zlib
 from collections import Counter
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,11 @@ class Vocabulary:
 def as_symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per row: row, doc_id, held_out, n_tokens, n_known, base_score, share (both but for the words of tail), symbols, tail."""
     kind = docs.schema["doc_id"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # HEAD_WORDS words at most
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # HEAD_WORDS words at most
     tail_type = pa.struct([("word", pa.binary()), ("k", pa.int32())])
 
     def run(batches):
-        v = shared.value
+        v = SimpleNamespace(**shared.value)
         get = v.place.get
         end = get(END, -1)
         for b in batches:

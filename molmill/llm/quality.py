@@ -27,7 +27,7 @@ _CLASS = np.array([1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c
 
 def _slots(codes: np.ndarray, kind: int) -> np.ndarray:
     """Hashed slots of integer codes; kind tells n-grams of different sorts apart."""
-    mixed = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xC2B2AE3D27D4EB4F % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
