@@ -46,4 +46,4 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
-        assert len(got.columns) > 1 and len(got)
+        assert len(got.columns) and len(got)
