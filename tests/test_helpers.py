@@ -257,3 +257,32 @@ def test_pattern_screen_in_blocks_and_null_handling(spark):
     assert O.pattern_hits(rows, cat.limit(0), "k", "t").count() == 0
     assert [r[0] for r in spark.createDataFrame([(None,), (1.0,)], "v double").select(O.in_range(F.col("v"), 0, 2)).collect()] == [False, True]
     assert spark.range(1).select(E.in_bounds((F.lit(None).cast("double"), F.lit(5.0), F.lit(5.0)))).head()[0] is True
+
+
+def test_shape_ratios_of_a_rod_a_disc_and_a_ball(spark):
+    from molmill.operators.stats import shape_ratios
+
+    rod = [(0, float(i), 0.0, 0.0) for i in range(5)]
+    disc = [(1, math.cos(a * math.pi / 4), math.sin(a * math.pi / 4), 0.0) for a in range(8)]
+    ball = [(2, *(s if c == k else 0.0 for c in range(3))) for k in range(3) for s in (1.0, -1.0)]
+    point = [(3, 1.0, 1.0, 1.0)]
+    rows = [(m, i, 6, x, y, z, 0, [6]) for i, (m, x, y, z) in enumerate(rod + disc + ball + point)]
+    got = {r.mol_id: (r.npr1, r.npr2) for r in shape_ratios(spark.createDataFrame(rows, ATOMS)).collect()}
+    assert got[0] == pytest.approx((0, 1)) and got[1] == pytest.approx((0.5, 0.5)) and got[2] == pytest.approx((1, 1)) and got[3] == (None, None)
+
+
+def test_circular_fingerprints_do_not_depend_on_numbering(spark):
+    atoms, bonds = made(spark, 10, 9)
+    one = {r.mol_id: r.on_bits for r in L.circular_fingerprint(atoms, bonds, n_bits=1024).collect()}
+    turned = atoms.withColumn("atom_idx", 100 - F.col("atom_idx"))
+    two = {r.mol_id: r.on_bits for r in L.circular_fingerprint(turned, bonds.withColumns({"i": 100 - F.col("i"), "j": 100 - F.col("j")}), n_bits=1024).collect()}
+    assert one == two and all(0 <= b < 1024 for v in one.values() for b in v)
+    words = spark.createDataFrame([([0, 63, 64, 130],)], "b array<int>").select(L.words_of(F.col("b"), 192)).head()[0]
+    assert [w & (2**64 - 1) for w in words] == [1 | 1 << 63, 1, 4]
+
+
+def test_ring_systems_and_loops():
+    fused = [[0, 1, 2, 3], [2, 3, 4, 5], [8, 9, 10]]
+    assert graphs.systems(fused, 1) == [[0, 1], [2]] == graphs.systems(fused, 2)
+    touching = [[0, 1, 2], [2, 3, 4]]
+    assert graphs.systems(touching, 1) == [[0, 1]] and graphs.systems(touching, 2) == [[0], [1]]
