@@ -21,7 +21,8 @@ def molecule_rows(blocks: DataFrame) -> DataFrame:
         F.slice(lines, 5, F.coalesce(n, F.lit(0))),
         lambda s: F.struct(*(P.field(s, i, i + 9).try_cast("double").alias(a) for a, i in (("x", 1), ("y", 11), ("z", 21))), P.atomic_number(P.field(s, 32, 34)).alias("n")),
     )
-    rows = blocks.withColumn("atoms", F.filter(atom, lambda a: a["n"].isNotNull()))
+    # As a generator's output the atoms are parsed once; else every use of the column, in filters too, would parse them again.
+    rows = blocks.select("*", F.inline(F.array(F.struct(F.filter(atom, lambda a: a["n"].isNotNull()).alias("atoms")))))
     xyz = lambda a: tuple(a[c] for c in "xyz")
     far = F.array_max(F.transform("atoms", lambda a: F.array_max(F.transform("atoms", lambda b: distance(xyz(a), xyz(b))))))
     flat = lambda c: F.forall(F.col(f"atoms.{c}"), lambda v: F.abs(v) == 0)
