@@ -14,8 +14,10 @@ from .registry import VIEWS, query, rounded, view
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _PAIRS = f"pairs AS (SELECT a.mol_id, a.atom_idx AS i, b.atom_idx AS j, {_D} AS d FROM v_atoms a JOIN v_atoms b ON a.mol_id = b.mol_id AND a.atom_idx < b.atom_idx)"
 
-VIEWS["v_ligand"] = "SELECT mol_id % 50 AS pdb_id, atom_idx, x * 5 AS x, y * 5 AS y, z * 5 AS z FROM v_atoms WHERE mol_id % 50 < 10 AND mol_id % 97 = 0"
-VIEWS["v_receptor"] = "SELECT mol_id % 50 AS pdb_id, mol_id, atom_idx, chain, CAST(mol_id AS BIGINT) AS res_num, x * 5 AS x, y * 5 AS y, z * 5 AS z FROM v_atoms"
+# A complex is a run of 970 molecules, ten of them ligands, so that the number of complexes grows with the table.
+_COMPLEX = "CAST(floor(mol_id / 970) AS BIGINT) AS pdb_id"
+VIEWS["v_ligand"] = f"SELECT {_COMPLEX}, atom_idx, x * 5 AS x, y * 5 AS y, z * 5 AS z FROM v_atoms WHERE mol_id % 97 = 0"
+VIEWS["v_receptor"] = f"SELECT {_COMPLEX}, mol_id, atom_idx, chain, CAST(mol_id AS BIGINT) AS res_num, x * 5 AS x, y * 5 AS y, z * 5 AS z FROM v_atoms"
 
 
 def atoms(spark, d):
