@@ -126,9 +126,9 @@ def k9_model_texts(spark, d):
     return W.model_texts(rows.select(F.floor(F.col("mol_id") / 10).alias("file"), F.col("mol_id").alias("mol_idx"), block.alias("block")))
 
 
-@query("SELECT mol_id % 100 AS pdb_id, count(*) FILTER (WHERE record = 'HETATM') AS n_ligand, count(*) FILTER (WHERE record = 'ATOM') AS n_protein FROM v_atoms GROUP BY 1 HAVING count(*) FILTER (WHERE record = 'HETATM') > 0 AND count(*) FILTER (WHERE record = 'ATOM') > 0")
+@query("SELECT CAST(floor(mol_id / 100) AS BIGINT) AS pdb_id, count(*) FILTER (WHERE record = 'HETATM') AS n_ligand, count(*) FILTER (WHERE record = 'ATOM') AS n_protein FROM v_atoms GROUP BY 1 HAVING count(*) FILTER (WHERE record = 'HETATM') > 0 AND count(*) FILTER (WHERE record = 'ATOM') > 0")
 def k3_complex_rows(spark, d):
-    a = view(spark, d, "v_atoms").withColumn("pdb_id", F.col("mol_id") % 100)
+    a = view(spark, d, "v_atoms").withColumn("pdb_id", F.floor(F.col("mol_id") / 100))  # a hundred molecules a complex, however large the table
     place = F.sort_array(F.collect_list(F.struct("mol_id", "atom_idx", F.array(*(F.col(c).cast("float") for c in "xyz")).alias("p"), F.array(F.col("atomic_num").cast("smallint")).alias("t"))))
     half = lambda w, n: a.where(w).groupBy("pdb_id").agg(place.alias("a")).select("pdb_id", F.col("a.p").alias(f"{n}_coords"), F.col("a.t").alias(f"{n}_types"))
     rows = half("record = 'HETATM'", "lig").join(half("record = 'ATOM'", "prot"), "pdb_id")
