@@ -21,7 +21,7 @@ from .common import letter_words, summed
 # Phrases that give a label wherever their words stand in a row.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Common notices (label, words, mandatory key phrase), as licences recommend them or projects write them.
+# Common notices (label, words, mandatory key phrase or phrases), as licences recommend them or projects write them.
 NOTICES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
@@ -39,6 +39,32 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 
+# The licences' own headers, titles and opening passages; several key phrases are all mandatory.
+_HEADER = "terms of the gnu {}general public license as published by the free software foundation either version {} of the license"
+NOTICES += (
+    *((f"gpl-{v}", _HEADER.format("", v), ("gnu general public license", f"version {v} of the license")) for v in "23"),
+    *((f"gpl-{v}", f"terms of the gnu general public license version {v} as published by the free software foundation", f"gnu general public license version {v}") for v in "23"),
+    *(("lgpl", _HEADER.format(f"{kind} ", v), (f"gnu {kind} general public license", f"version {v} of the license")) for kind, v in (("library", "2"), ("lesser", "2 1"), ("lesser", "3"))),
+    ("gpl-3", "gnu general public license version 3 29 june 2007", "gnu general public license version 3"),
+    ("gpl-2", "gnu general public license version 2 june 1991", "gnu general public license version 2"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works", "gnu general public license is a free copyleft license"),
+    ("gpl-2", "the gnu general public license is intended to guarantee your freedom to share and change free software", "gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("mpl-2", "mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("mpl-2", "means each individual or legal entity that creates contributes to the creation of or owns covered software", "contributes to the creation of or owns covered software"),
+    ("mit", "mit license copyright c", "mit license"),
+    ("mit", "the mit license mit", "the mit license mit"),
+    ("bsd", "bsd 2 clause license", "bsd 2 clause"),
+    ("bsd", "bsd 3 clause license", "bsd 3 clause"),
+    ("isc", "isc license copyright c", "isc license"),
+    *((f"cc-by{part}", f"creative commons attribution {name}{v}", f"creative commons attribution {name}{v[:3]}") for part, name in (
+        ("", ""), ("-sa", "sharealike "), ("-nc", "noncommercial "), ("-nd", "noderivatives "), ("-nc-sa", "noncommercial sharealike "), ("-nc-nd", "noncommercial noderivatives "),
+    ) for v in ("4 0 international", "3 0 unported", "2 5 generic", "2 0 generic")),
+    ("cc0", "creative commons legal code cc0 1 0 universal", "cc0 1 0 universal"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0 universal"),
+    # No licence, but a notice of the terms: none are granted.
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+)
+
 
 def phrase_places(words: list[bytes], text: bytes, phrase: bytes) -> list[int]:
     """Starts of a phrase's words in a row; text is the words with a space around each."""
@@ -53,7 +79,8 @@ class Index:
     """Templates' words and the postings of their anchors."""
 
     def __init__(self, notices, idf: dict[bytes, float], anchors: int):
-        self.templates = [(label, words.encode().split(), key.encode().split()) for label, words, key in notices]
+        keys = lambda key: [k.encode().split() for k in ((key,) if isinstance(key, str) else key)]
+        self.templates = [(label, words.encode().split(), keys(key)) for label, words, key in notices]
         self.postings, self.mass = defaultdict(list), []
         for t, (_, words, _) in enumerate(self.templates):
             rare = sorted(set(words), key=lambda w: (-idf[w], w))[:anchors]
@@ -75,11 +102,11 @@ class Index:
         for (t, start), mass in votes.items():
             if mass < least_mass * self.mass[t] - 1e-9:
                 continue
-            label, template, key = self.templates[t]
+            label, template, keys = self.templates[t]
             agree = [i for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w]
             share = len(agree) / len(template)
             near = words[max(0, start) : start + len(template)]
-            whole = any(near[i : i + len(key)] == key for i in range(len(near) - len(key) + 1))
+            whole = all(any(near[i : i + len(key)] == key for i in range(len(near) - len(key) + 1)) for key in keys)
             if share >= least_share and whole:
                 out.append((label, start + agree[0], start + agree[-1] + 1, share))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
