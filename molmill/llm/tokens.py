@@ -6,6 +6,7 @@ above it and how many tokens are left if every text is cut to it.
 """
 
 import base64
+import re
 from math import ceil
 
 import pyarrow as pa
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import scratch
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024  # lengths whose suffix sums one task adds up
+LONG_SPACE = 100_000
+# The characters of Unicode's White_Space, which is what the tokenizers' patterns mean by it.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _pattern() -> str:
@@ -24,6 +30,19 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def token_count(encoding, text: str, long_space: int = LONG_SPACE) -> int:
+    """Tokens of the text. A run of white space too long for the encoder's pattern is taken out as the piece that the pattern makes of it.
+
+    That is all of the run, or all but its last character if a word follows.
+    """
+    n, at = 0, 0
+    for run in re.finditer(f"[{_SPACES}]{{{long_space},}}", text) if len(text) >= long_space else ():
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
     """n_tokens (null text: 0) of every row of docs(text), with doc_id."""
     with open(tokenizer, "rb") as f:
@@ -35,9 +54,9 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str |
         import tiktoken
 
         ranks, pattern = shared.value
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            n = [len(encode(x.as_py() or "")) for x in b.column(1)]
+            n = [token_count(encoding, x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType())]))
@@ -50,7 +69,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     truncated_tokens is what all texts have together if cut to this length. Sums are taken
     within blocks of lengths, then over the blocks, so no task holds all lengths.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = scratch(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")  # written, as it is read twice
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("sum"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +86,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
-    """length_histogram of docs(doc_id, text). Null and empty texts have length 0; no rows give no rows; repeats count; other columns are ignored."""
+    """length_histogram of docs(doc_id, text). 
+
+    Null and empty texts have length 0; texts are encoded whole, however long, long runs of
+    white space too; no rows give no rows; repeats count; other columns are ignored.
+    """
     return length_histogram(encoded_lengths(docs, tokenizer, pattern))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from molmill.llm.chat import preference_pairs
 from molmill.llm.license import PHRASES, license_scan
-from molmill.llm.tokens import encoded_lengths, length_histogram, length_quantile, token_histogram, truncated_totals
+from molmill.llm.tokens import encoded_lengths, length_histogram, length_quantile, token_count, token_histogram, truncated_totals
 
 
 def letter_words(text):
@@ -56,6 +56,24 @@ def test_token_histogram(spark):
     assert empty.count() == 0 and length_quantile(empty, 0.5) is None
 
 
+def test_long_white_space(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(8)
+    for _ in range(2000):
+        text = "".join(r.choice(["a", "é", "'s", "7", "!", *" \n\t\u2003\x1f\xa0" * 3]) for _ in range(r.randrange(40)))
+        assert token_count(encoding, text, 3) == len(encoding.encode_ordinary(text)), repr(text)
+    given = [(1, " " * 1_000_000), (2, "a" + " " * 1_000_000 + "b"), (3, "word " * 300_000), (4, "x" * 1_000_000), (5, "\n" * 1_000_000 + "end")]
+    got = dict(rows(encoded_lengths(docs(spark, given)), "doc_id", "n_tokens"))
+    assert got[1] == 1_000_000 and got[2] == 1 + 999_999 + 1 and got[3] > 300_000 and got[4] > 0 and got[5] == len(encoding._encode_single_piece("\n" * 999_999)) + 2
+
+
 def plain_pairs(turns):
     out = []
     for p in sorted({c // 2 for c, *_ in turns if c is not None}):
