@@ -72,7 +72,7 @@ ORACLE_SQL = {
     "op1_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(concat('0x', substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15)) AS BIGINT) AS position
+         CAST(concat('0x', substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 15)) AS BIGINT) AS position
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s),
@@ -87,15 +87,17 @@ t AS (
          least(cap, (SELECT arg_min(level, (full_at, nth)) FROM l WHERE level <= full_at) * weight) AS target FROM l),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 b AS (SELECT *, target - whole * source_size AS budget FROM k),
-p AS (SELECT source, position, sum(size) AS size FROM d GROUP BY source, position),
+p AS (SELECT source, position, sum(size) AS size, count(*) AS n FROM d GROUP BY source, position),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY position ROWS UNBOUNDED PRECEDING) AS upto FROM p),
 e AS (
-  SELECT b.source, arg_min(c.position + CASE WHEN c.upto - b.budget < b.budget - (c.upto - c.size) THEN 1 ELSE 0 END, c.position) AS threshold
-  FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source WHERE c.upto > b.budget GROUP BY b.source)
-SELECT d.doc_id, d.size, b.source_size, b.target,
-       CAST(d.size * (b.whole + CASE WHEN d.position < coalesce(e.threshold, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(b.whole + CASE WHEN d.position < coalesce(e.threshold, 0) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  SELECT b.source, min(c.position) AS at, arg_min(ceil((b.budget - (c.upto - c.size)::DOUBLE) / (c.size::DOUBLE / c.n) - 0.5), c.position) AS wanted
+  FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source WHERE b.budget > 0 AND c.upto > b.budget GROUP BY b.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, position) AS nth FROM d),
+x AS (
+  SELECT r.doc_id, r.size, b.source_size, b.target,
+         b.whole + CASE WHEN r.position < e.at OR r.position = e.at AND r.nth <= e.wanted THEN 1 ELSE 0 END AS copies
+  FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM x
 """,
     "op4_winnow_benchmark": r"""
 WITH dw AS (

@@ -29,13 +29,14 @@ def plain_targets(sizes, weights=(5, 2, 1)):
     return target
 
 
-def position(i):
-    return int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+def position(i, t):
+    return int(hashlib.md5(f"mix:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:15], 16)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mix_agrees_with_brute_force(spark, seed):
     given = [(i, t, "awkward") for i, t in AWKWARD] + [(100 + i, "w " * (i * 7 * seed % 50), ["a", "b", "B", "é", None, "hot", "hot", "hot"][i % 8]) for i in range(600)] + [(9000, "", "nothing")]
+    given += [(None, f"null id {'w ' * (i % 9)}", "ids") for i in range(200)] + [(7, "the same row " * 5, "repeats")] * 100 + [(i, "once more" * (i % 2), "z") for i in range(9100, 9140)]
     d = docs(spark, given).selectExpr("*", "1 as size", "2 as position", "3 as prefix", "4 as weight", "5 as below")
     d = d.withColumn("source", F.when(d.source.isNotNull(), d.source))
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -45,18 +46,15 @@ def test_mix_agrees_with_brute_force(spark, seed):
     target = plain_targets(total)
     want = []
     for s in total:
-        mine = sorted((position(i), size(t), i) for i, t, x in given if x == s)
+        mine = sorted(((position(i, t), size(t), i) for i, t, x in given if x == s), key=lambda m: (m[0], repr(m)))
         whole = int(target[s] / total[s] + 1e-12) if total[s] else 0
-        budget, taken, extra = target[s] - whole * total[s], 0, set()
-        for p in sorted({m[0] for m in mine}) if budget > 1e-6 else []:
-            group = sum(m[1] for m in mine if m[0] == p)
-            if taken + group > budget and taken + group - budget >= budget - taken:
-                break
-            extra.add(p)
-            taken += group
-            if taken > budget:
-                break
-        want += [(m[2], m[1], total[s], round(target[s], 6), m[1] * (whole + (m[0] in extra))) for m in mine]
+        budget, taken = target[s] - whole * total[s], 0
+        more = budget > 1e-6
+        for p, n, i in mine:  # one after the other, until the next would end farther from the budget
+            more = more and not taken + n - budget >= budget - taken if n else more
+            taken += n * more
+            want.append((i, n, total[s], round(target[s], 6), n * (whole + more)))
+        assert abs(taken - budget) <= max(m[1] for m in mine) / 2 + 1e-6
     got = [(a, b, c, round(t, 6), x) for a, b, c, t, x in rows(mix_sizes(d), "doc_id", "size", "source_size", "target", "taken")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     copies = Counter()
@@ -66,6 +64,12 @@ def test_mix_agrees_with_brute_force(spark, seed):
     assert mixed.columns == d.columns and Counter(r.doc_id for r in mixed.collect()) == +copies
 
 
+def test_no_copies_beyond_the_cap(spark):
+    """A source at its cap has no budget left: empty documents are taken as often as the others."""
+    given = [(i, "w " * (i % 2 * 3), "z") for i in range(40)] + [(100 + i, "w " * 400, "a") for i in range(20)]
+    assert {(r.size > 0, r.copies) for r in mix_sizes(docs(spark, given)).collect() if r.source_size == 60} == {(True, 2), (False, 2)}
+
+
 def test_mix_of_nothing(spark):
     assert mix_sizes(docs(spark, [])).count() == 0 and mix_documents(docs(spark, [])).count() == 0
     assert rows(mix_sizes(docs(spark, [(1, None), (2, "")])), "doc_id", "size", "target", "taken") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
