@@ -21,9 +21,14 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_preference_pairs(spark, sf_dir):
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
-    turns = table(spark, sf_dir, "conversations")
-    got = preference_pairs(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 1)
+    """Every conversation against itself with its last assistant turn taken from the conversation of the next id (empty, if there is none)."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    swapped = (F.col("role") == "assistant") & F.struct("turn", "text").eqNullSafe(F.col("last"))
+    both = turns.join(last, "conv_id", "left").join(other, "conv_id", "left").select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_rejected"))
+    both = both.withColumn("text", F.when(F.col("is_rejected") & F.coalesce(swapped, F.lit(False)), F.col("other")).otherwise(F.col("text")))
+    got = preference_pairs(both, F.col("conv_id"), F.col("is_rejected"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["first"], F.lit("-"), s["last"])), ",").alias(c)
     return got.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
@@ -124,10 +129,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """,
     "op2_preference_pairs": r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH l AS (
+  SELECT conv_id, turn, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS nth FROM conversations WHERE conv_id IS NOT NULL AND role = 'assistant')
+  WHERE nth = 1),
+b AS (
+  SELECT conv_id, 0 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.turn IS NOT DISTINCT FROM l.turn AND c.text IS NOT DISTINCT FROM l.text AND l.conv_id IS NOT NULL THEN o.text ELSE c.text END
+  FROM conversations c LEFT JOIN l ON c.conv_id = l.conv_id LEFT JOIN l o ON c.conv_id = o.conv_id - 1 WHERE c.conv_id IS NOT NULL),
+t AS (
+  SELECT conv_id AS pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM b),
 n AS (
   SELECT pair_id, max(CASE WHEN side = 0 THEN nth ELSE 0 END) AS cs, max(CASE WHEN side = 1 THEN nth ELSE 0 END) AS rs FROM t GROUP BY pair_id),
 d AS (
