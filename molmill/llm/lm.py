@@ -1,16 +1,20 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-A token is modelled in two steps. Its symbol is the word itself for the most frequent
-words and the end of a text, else a class of rarer words by their last two bytes; the
-log-bilinear model gives a symbol's probability from the two symbols before it. Inside a
-class a word's probability is its smoothed share of the class's training tokens. Both
-steps are normalised, so scores are log probabilities.
-
-Word counts cover all training rows. Texts are then written once as symbols. Training
-runs on every partition of them in rounds: each task goes through its own texts with
-noise-contrastive gradient steps, and the tasks' parameters, arrays of fixed size, are
-averaged by weight. As there are few symbols, the noise enters by its expectation over
-all of them instead of by samples.
+A token is modelled in two steps, both from the vectors of the two words before it. First
+its symbol: the end of a text or one of the most frequent words by itself, a group of
+other frequent words, or a class of rarer words by their last two bytes. Then the word
+within its group, for which it has a vector of its own; inside a class of rare words, a
+word's probability is its smoothed share of the class's training tokens. All steps are
+normalised, so scores are log probabilities. The words with vectors are those seen often
+enough, so that they grow with the corpus up to a stated number; groups are runs of them
+in the order of their endings.
+
+Word counts cover all training rows. Texts are then written once as codes. Training goes
+over all of them in rounds: a hash of a row's id and text deals it to one of the shards,
+whose number follows from the number of tokens; each shard's task takes noise-contrastive
+steps through its texts in the order of their hashes, with noise drawn from the counts,
+and the shards' parameters, arrays of a stated size, are averaged by tokens. So a model
+does not depend on how the rows are partitioned.
 """
 
 import zlib
@@ -28,11 +32,14 @@ from pyspark.sql.window import Window
 from .common import remainder, scratch, spaced_words, summed
 
 END = b"\n"  # no word holds white space
-SYMBOLS, CLASSES = 256, 64
-WORDS = SYMBOLS - CLASSES  # symbols of their own, the end among them
+SINGLES, GROUPS, CLASSES = 128, 64, 64  # the end is among the singles
+SYMBOLS = SINGLES + GROUPS + CLASSES
 WIDTH = 32
-NOISE = 16.0
+NOISE, WORD_NOISE = 64, 8  # noise symbols a block of tokens, noise words a token
 HEAD_WORDS = 100_000
+OWN_WORDS, LEAST_COUNT = 16_384, 50
+SHARD_TOKENS = 4_000_000
+STEP = 2048
 _FLUSH = 200_000
 
 
@@ -63,9 +70,13 @@ def tail_class(word: bytes) -> int:
 
 
 class Vocabulary:
-    """What is known of the most frequent words, and of all words in sums: of bounded size."""
+    """What is known of the most frequent words, and of all words in sums: of bounded size.
 
-    def __init__(self, counts: DataFrame, head_words: int):
+    A word's code is its place among the words with vectors (the end first, then the other
+    singles, then the groups' words group by group), or beyond them its class.
+    """
+
+    def __init__(self, counts: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OWN_WORDS, least_count: int = LEAST_COUNT):
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
         self.tokens, self.distinct = int(total[0]), int(total[1])
         # The least count that no more than head_words words reach. There are far fewer different counts than words.
@@ -76,31 +87,40 @@ class Vocabulary:
         head = sorted(counts.where(frequent | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
         words = [bytes(r[0]) for r in head]
         n = np.array([r[1] for r in head], dtype=np.float64)
-        own = [END, *[w for w in words if w != END][: WORDS - 1]]
-        symbol = dict(zip(own, range(len(own)), strict=True))
         self.place = dict(zip(words, range(len(words)), strict=True))
-        self.symbol = np.array([symbol.get(w, WORDS + tail_class(w)) for w in words], dtype=np.uint8)
+        often = [w for w, k in zip(words, n.tolist(), strict=True) if w != END and k >= least_count][: max(own_words - 1, 0)]
+        singles, others = [END, *often[: SINGLES - 1]], sorted(often[SINGLES - 1 :], key=lambda w: w[::-1])
+        self.first = SINGLES + np.array([len(others) * g // GROUPS for g in range(GROUPS + 1)])  # codes at which the groups begin
+        self.codes = int(self.first[-1]) + CLASSES
+        code = dict(zip(singles, range(len(singles)), strict=True)) | dict(zip(others, range(SINGLES, SINGLES + len(others)), strict=True))
+        tail = int(self.first[-1])
+        self.code = np.array([code.get(w, -1) for w in words], dtype=np.int64)
+        inside = self.code >= 0
+        kind = np.array([tail_class(w) for w in words], dtype=np.int64)
+        self.code[~inside] = tail + kind[~inside]
         by_class = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % CLASSES).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
         size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in by_class:
             size[r["class"]], kinds[r["class"]] = r["n"], r["words"]
-        for w in own:
-            if w in self.place:
-                size[tail_class(w)] -= n[self.place[w]]
-                kinds[tail_class(w)] -= 1
-        self.symbol_counts = np.zeros(SYMBOLS)
-        for w, s in symbol.items():
-            self.symbol_counts[s] = n[self.place[w]] if w in self.place else 0
-        self.symbol_counts[WORDS:] = size
+        np.subtract.at(size, kind[inside], n[inside])
+        np.subtract.at(kinds, kind[inside], 1)
+        self.code_counts = np.zeros(self.codes)
+        self.code_counts[self.code[inside]] = n[inside]
+        self.code_counts[tail:] = size
+        self.coverage = float(n[inside].sum() / max(self.tokens, 1))
         self.log_count = np.log10(n + 0.5)
         self.log_base = np.log10(self.tokens + 0.5 * (self.distinct + 1))
-        # What a word's share of its symbol is divided by; a symbol of its own has share 1.
+        # What a rare word's share of its class is divided by.
         self.log_class = np.log10(size + 0.5 * (kinds + 1))
-        self.log_share = np.where(self.symbol < WORDS, 0.0, self.log_count - self.log_class[np.maximum(self.symbol.astype(int) - WORDS, 0)])
+        self.log_share = np.where(inside, 0.0, self.log_count - self.log_class[kind])
+
+    @property
+    def model(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.first, self.code_counts
 
 
-def as_symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per row: row, doc_id, held_out, n_tokens, n_known, base_score, share (both but for the words of tail), symbols, tail."""
+def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Per row: row, doc_id, held_out, n_tokens, n_known, base_score, share (both but for the words of tail), codes, tail."""
     kind = docs.schema["doc_id"].dataType
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # HEAD_WORDS words at most
     tail_type = pa.struct([("word", pa.binary()), ("k", pa.int32())])
@@ -109,8 +129,9 @@ def as_symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = SimpleNamespace(**shared.value)
         get = v.place.get
         end = get(END, -1)
+        beyond = v.codes - CLASSES
         for b in batches:
-            n_tokens, known, base, share, symbols = [], [], [], [], []
+            n_tokens, known, base, share, codes = [], [], [], [], []
             tails, times, ends = [], [], [0]
             for x in b.column(3):
                 words = spaced_words(x.as_py())
@@ -119,39 +140,57 @@ def as_symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 k = np.fromiter(seen.values(), dtype=np.int64, count=len(kinds))
                 at = np.fromiter(map(get, kinds, repeat(-1)), dtype=np.int64, count=len(kinds))
                 inside = at >= 0
-                own = np.zeros(len(kinds), dtype=np.uint8)
-                own[inside] = v.symbol[at[inside]]
+                own = np.zeros(len(kinds), dtype=np.int64)
+                own[inside] = v.code[at[inside]]
                 rest = np.flatnonzero(~inside)
-                own[rest] = [WORDS + tail_class(kinds[i]) for i in rest.tolist()]
+                own[rest] = [beyond + tail_class(kinds[i]) for i in rest.tolist()]
                 n = len(words) + 1
                 n_tokens.append(n)
                 known.append(int(k[inside].sum()) + (end >= 0))
                 base.append(float(k[inside] @ v.log_count[at[inside]]) + (float(v.log_count[end]) if end >= 0 else float(np.log10(0.5))) - n * float(v.log_base))
-                share.append(float(k[inside] @ v.log_share[at[inside]]) - float(k[rest] @ v.log_class[own[rest].astype(int) - WORDS]))
-                symbols.append(bytes(map(dict(zip(kinds, own.tolist(), strict=True)).__getitem__, words)) + b"\0")
+                share.append(float(k[inside] @ v.log_share[at[inside]]) - float(k[rest] @ v.log_class[own[rest] - beyond]))
+                codes.append(np.fromiter(map(dict(zip(kinds, own.tolist(), strict=True)).__getitem__, words), dtype="<u2", count=n - 1).tobytes() + b"\0\0")
                 tails.extend(kinds[i] for i in rest.tolist())
                 times.append(k[rest])
                 ends.append(ends[-1] + len(rest))
             tail = pa.StructArray.from_arrays([pa.array(tails, type=pa.binary()), pa.array(np.concatenate(times).astype(np.int32) if times else [], type=pa.int32())], fields=list(tail_type))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), *(pa.array(c, type=t) for c, t in ((n_tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()), (share, pa.float64()), (symbols, pa.binary()))), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), tail)],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "symbols", "tail"],
+                [b.column(0), b.column(1), b.column(2), *(pa.array(c, type=t) for c, t in ((n_tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()), (share, pa.float64()), (codes, pa.binary()))), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), tail)],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "codes", "tail"],
             )
 
     held = remainder(F.col("doc_id"), 5) == 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(held & F.col("doc_id").isNotNull(), F.lit(False)).alias("held_out"), "text")
-    rest = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, share double, symbols binary, tail array<struct<word: binary, k: int>>")
+    rest = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, share double, codes binary, tail array<struct<word: binary, k: int>>")
     return rows.mapInArrow(run, T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), *rest]))
 
 
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return -np.logaddexp(0, -x)
+
+
 class Model:
-    """Log-bilinear: a context's vector is the sum of its words' vectors, each times the matrix of its place."""
+    """Log-bilinear: a context's vector is the sum of its two words' vectors, each times the matrix of its place."""
 
-    def __init__(self, symbol_counts: np.ndarray, seed: int = 0):
+    def __init__(self, first: np.ndarray, code_counts: np.ndarray, seed: int = 0):
+        """first: codes at which the groups begin; code_counts: training tokens by code."""
         r = np.random.default_rng(seed)
-        self.noise = (symbol_counts + 0.5) / (symbol_counts + 0.5).sum()
+        self.first, self.codes = first, len(code_counts)
+        grouped = self.codes - SINGLES - CLASSES
+        self.symbol = np.concatenate([np.arange(SINGLES), np.repeat(np.arange(SINGLES, SINGLES + GROUPS), np.diff(first)), np.arange(SINGLES + GROUPS, SYMBOLS)])
+        share = np.bincount(self.symbol, weights=code_counts, minlength=SYMBOLS) + 0.5
+        self.share = share / share.sum()
+        words = code_counts[SINGLES : SINGLES + grouped] + 0.5
+        self.upto = np.concatenate([[0.0], np.cumsum(words)])
+        self.group_upto = self.upto[first - SINGLES]
+        of = self.symbol[SINGLES : SINGLES + grouped] - SINGLES
+        word_share = words / np.diff(self.group_upto)[of]
+        self.log_noise, self.log_word_noise = np.log(NOISE * self.share).astype(np.float32), np.log(WORD_NOISE * word_share).astype(np.float32)
         small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-        self.part = {"near": np.eye(WIDTH, dtype=np.float32), "far": 0.5 * np.eye(WIDTH, dtype=np.float32), "context": small(SYMBOLS, WIDTH), "target": small(SYMBOLS, WIDTH), "bias": np.log(self.noise).astype(np.float32)}
+        self.part = {
+            "near": np.eye(WIDTH, dtype=np.float32), "far": 0.5 * np.eye(WIDTH, dtype=np.float32), "context": small(self.codes, WIDTH),
+            "target": small(SYMBOLS, WIDTH), "bias": np.log(self.share).astype(np.float32), "word": small(grouped, WIDTH), "word_bias": np.log(word_share).astype(np.float32),
+        }
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.part.values()]).astype(np.float64)
@@ -163,139 +202,168 @@ class Model:
             at += p.size
         return self
 
-    def vectors(self, contexts: np.ndarray) -> np.ndarray:
+    def vectors(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         p = self.part
-        return p["context"][contexts & 255] @ p["near"] + p["context"][contexts >> 8] @ p["far"]
-
-    def log_probabilities(self) -> np.ndarray:
-        """log10 probability of each symbol after each pair, (SYMBOLS^2, SYMBOLS), in batched products."""
-        out = np.empty((SYMBOLS * SYMBOLS, SYMBOLS), dtype=np.float32)
-        for at in range(0, len(out), 4096):
-            s = self.vectors(np.arange(at, at + 4096)) @ self.part["target"].T + self.part["bias"]
-            s -= s.max(axis=1, keepdims=True)
-            out[at : at + 4096] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
-
-    def gradient(self, contexts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the noise-contrastive objective for counts (contexts by symbols), per token."""
+        return p["context"][near] @ p["near"] + p["context"][far] @ p["far"]
+
+    def drawn(self, token: np.ndarray, order: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Noise: NOISE symbols for all tokens, and WORD_NOISE words of its own group for each token that has one."""
+        noise = np.searchsorted(np.cumsum(self.share)[:-1], order.random(NOISE), side="right")
+        group = self.symbol[token] - SINGLES
+        group = group[(group >= 0) & (group < GROUPS)]
+        low, high = self.group_upto[group, None], self.group_upto[group + 1, None]
+        words = np.searchsorted(self.upto, low + order.random((len(group), WORD_NOISE)) * (high - low), side="right") - 1
+        return noise, np.clip(words, (self.first[group] - SINGLES)[:, None], (self.first[group + 1] - SINGLES - 1)[:, None])
+
+    def gradient(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, words: np.ndarray) -> tuple[float, dict]:
+        """The noise-contrastive objective of tokens after contexts, and its gradient: rows and their values for tables, arrays for the matrices."""
         p = self.part
-        near, far = contexts & 255, contexts >> 8
-        q = self.vectors(contexts)
-        each = counts.sum(axis=1, keepdims=True)
-        odds = q @ p["target"].T + p["bias"] - np.log(NOISE * self.noise).astype(np.float32)
-        true = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        slope = (counts * (1 - true) - NOISE * each * self.noise.astype(np.float32) * true) / each.sum()
-        dq = slope @ p["target"]
-        context = np.zeros_like(p["context"])
-        np.add.at(context, near, dq @ p["near"].T)
-        np.add.at(context, far, dq @ p["far"].T)
-        return {"near": p["context"][near].T @ dq, "far": p["context"][far].T @ dq, "context": context, "target": slope.T @ q, "bias": slope.sum(axis=0)}
-
-
-class Adam:
+        q = self.vectors(near, far)
+        s = self.symbol[token]
+        true = (q * p["target"][s]).sum(axis=1) + p["bias"][s] - self.log_noise[s]
+        fake = q @ p["target"][noise].T + p["bias"][noise] - self.log_noise[noise]
+        up, down = 1 / (1 + np.exp(np.clip(true, -30, 30))), -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        dq = up[:, None] * p["target"][s] + down @ p["target"][noise]
+        at = np.flatnonzero((s >= SINGLES) & (s < SINGLES + GROUPS))
+        w, q2 = token[at] - SINGLES, q[at]
+        far_words = p["word"][words]
+        true2 = (q2 * p["word"][w]).sum(axis=1) + p["word_bias"][w] - self.log_word_noise[w]
+        fake2 = np.matmul(far_words, q2[:, :, None])[:, :, 0] + p["word_bias"][words] - self.log_word_noise[words]
+        up2, down2 = 1 / (1 + np.exp(np.clip(true2, -30, 30))), -1 / (1 + np.exp(np.clip(-fake2, -30, 30)))
+        dq[at] += up2[:, None] * p["word"][w] + np.matmul(down2[:, None, :], far_words)[:, 0]
+        word_rows = np.concatenate([w, words.ravel()])
+        objective = sum(float(_log_sigmoid(x.astype(np.float64)).sum()) for x in (true, -fake, true2, -fake2))
+        return objective, {
+            "near": p["context"][near].T @ dq, "far": p["context"][far].T @ dq,
+            "context": (np.concatenate([near, far]), np.concatenate([dq @ p["near"].T, dq @ p["far"].T])),
+            "target": (np.concatenate([s, noise]), np.concatenate([up[:, None] * q, down.T @ q])), "bias": (np.concatenate([s, noise]), np.concatenate([up, down.sum(axis=0)])),
+            "word": (word_rows, np.concatenate([up2[:, None] * q2, (down2[:, :, None] * q2[:, None, :]).reshape(-1, WIDTH)])), "word_bias": (word_rows, np.concatenate([up2, down2.ravel()])),
+        }
+
+    def log_probabilities(self, token: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """log10 probability of each token after its context, in batched products; that of a class for the words of one."""
+        p, out = self.part, np.empty(len(token))
+        for at in range(0, len(token), 1 << 17):
+            t = token[at : at + (1 << 17)]
+            q, s = self.vectors(near[at : at + len(t)], far[at : at + len(t)]), self.symbol[t]
+            got = np.concatenate([_picked(q[i : i + 4096], p["target"], p["bias"], s[i : i + 4096]) for i in range(0, len(t), 4096)])
+            by = np.argsort(s, kind="stable")
+            ends = np.searchsorted(s[by], np.arange(SINGLES, SINGLES + GROUPS + 1))
+            for g in range(GROUPS):
+                some = by[ends[g] : ends[g + 1]]
+                low, high = self.first[g] - SINGLES, self.first[g + 1] - SINGLES
+                if len(some):
+                    got[some] += _picked(q[some], p["word"][low:high], p["word_bias"][low:high], t[some] - self.first[g])
+            out[at : at + len(t)] = got
+        return out / np.log(10)
+
+
+def _picked(q: np.ndarray, target: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the normalised probability of one target a row."""
+    scores = q @ target.T
+    scores += bias
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(q)), which].astype(np.float64)
+    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+
+
+class Adagrad:
+    """Steps up the gradient, of rows of tables only where they have one."""
+
     def __init__(self, model: Model, rate: float):
-        self.model, self.rate, self.t = model, rate, 0
-        self.m = {k: np.zeros_like(p) for k, p in model.part.items()}
-        self.v = {k: np.zeros_like(p) for k, p in model.part.items()}
+        self.model, self.rate = model, rate
+        self.sum = {k: np.full_like(p, 1e-6) for k, p in model.part.items()}
 
-    def step(self, gradient: dict[str, np.ndarray]) -> None:
-        self.t += 1
+    def step(self, gradient: dict) -> None:
         for k, g in gradient.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.model.part[k] += (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
-
-
-def trigram_keys(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Pair before, and token, of each token in texts laid end to end; a text starts after two ends (symbol 0)."""
-    s = symbols.astype(np.int32)
-    one, two = np.zeros_like(s), np.zeros_like(s)
-    one[1:], two[2:] = s[:-1], s[:-2]
-    start = ends[:-1]
-    two[start[start < len(s)]] = 0
-    second = start[ends[1:] - start > 1] + 1
-    two[second] = 0
-    return (two << 16) | (one << 8) | s  # the token before a text's first one is the end of the text before it, or nothing: 0 both
-
-
-def train_on(model: Model, adam: Adam, keys: np.ndarray, epochs: int, block: int, order: np.random.Generator) -> None:
-    triples, n = np.unique(keys, return_counts=True)
-    contexts, of = np.unique(triples >> 8, return_inverse=True)
-    words, n = triples & 255, n.astype(np.float32)
-    for _ in range(epochs):
-        place = order.permutation(len(contexts))
-        by_place = np.argsort(place[of], kind="stable")
-        sorted_place, mixed = place[of][by_place], np.empty_like(contexts)
-        mixed[place] = contexts
-        for at in range(0, len(contexts), block):
-            i, j = np.searchsorted(sorted_place, (at, at + block))
-            some = by_place[i:j]
-            counts = np.zeros((min(block, len(contexts) - at), SYMBOLS), dtype=np.float32)
-            counts[sorted_place[i:j] - at, words[some]] = n[some]
-            adam.step(model.gradient(mixed[at : at + block], counts))
-
-
-def _laid_out(column) -> tuple[np.ndarray, np.ndarray]:
-    texts = [x.as_py() for x in column]
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
-
-
-def train(rows: DataFrame, symbol_counts: np.ndarray, rounds: int = 3, epochs: int = 3, block: int = 2048, rate: float = 0.03) -> np.ndarray:
-    """Flat parameters after rounds over all rows(symbols)."""
-    flat = Model(symbol_counts).flat()
+            p, total = self.model.part[k], self.sum[k]
+            if isinstance(g, tuple):
+                rows, values = g
+                if not len(rows):
+                    continue
+                by = np.argsort(rows, kind="stable")
+                rows = rows[by]
+                start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                rows, g = rows[start], np.add.reduceat(values[by], start, axis=0)
+                total[rows] += g * g
+                p[rows] += self.rate * g / np.sqrt(total[rows])
+            else:
+                total += g * g
+                p += self.rate * g / np.sqrt(total)
+
+
+def contexts(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each one, and the one before that, in texts laid end to end; a text starts after two ends (code 0)."""
+    near, far = np.zeros_like(codes), np.zeros_like(codes)
+    near[1:], far[2:] = codes[:-1], codes[:-2]  # the last token of a text is the end
+    far[ends[:-1]] = 0
+    return near, far
+
+
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype="<u2").astype(np.int64), np.cumsum([0, *(len(x) // 2 for x in texts)])
+
+
+def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], tokens: int, rounds: int = 2, shard_tokens: int = SHARD_TOKENS, rate: float = 0.15) -> np.ndarray:
+    """Flat parameters after rounds over all rows(doc_id, codes), which have so many tokens."""
+    flat = Model(*model).flat()
+    shards = max(1, round(tokens / shard_tokens))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "codes")
+    dealt = rows.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("place"), "codes")
     for turn in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast((flat, symbol_counts))  # of fixed size
-
-        def run(batches, shared=shared, turn=turn):
-            at, counts = shared.value
-            model = Model(counts).load(at)
-            adam, tokens = Adam(model, rate / (turn + 1)), 0
-            for b in batches:
-                keys = trigram_keys(*_laid_out(b.column(0)))
-                tokens += len(keys)
-                if len(keys):
-                    train_on(model, adam, keys, epochs, block, np.random.default_rng(turn))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(model.flat() * tokens, tokens).tobytes()])], names=["payload"])
-
-        total = summed(rows.select("symbols").mapInArrow(run, "payload binary"))
+        shared = rows.sparkSession.sparkContext.broadcast((flat, model))  # of a stated size
+
+        def run(key, table, *, shared=shared, turn=turn):
+            at, plan = shared.value
+            model = Model(*plan).load(at)
+            steps, order = Adagrad(model, rate / (turn + 1)), np.random.default_rng([turn, key[0].as_py()])
+            texts = [x for _, x in sorted(zip(table.column("place").to_pylist(), table.column("codes").to_pylist(), strict=True))]
+            codes, ends = _laid_out(texts)
+            near, far = contexts(codes, ends)
+            for i in range(0, len(codes), STEP):
+                block = (codes[i : i + STEP], near[i : i + STEP], far[i : i + STEP])
+                steps.step(model.gradient(*block, *model.drawn(block[0], order))[1])
+            return pa.table({"payload": pa.array([np.append(model.flat() * len(codes), len(codes)).tobytes()], type=pa.binary())})
+
+        total = summed(dealt.groupBy("shard").applyInArrow(run, "payload binary"))
         shared.unpersist()
         if total is None:
             break
-        flat = total[:-1] / total[-1]
+        flat = (total[:-1] / total[-1]).astype(np.float32).astype(np.float64)
     return flat
 
 
-def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OWN_WORDS, least_count: int = LEAST_COUNT, rounds: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out (crc32 of the id as text modulo 5 is 1: held
-    out; a null id never is). Null texts are empty: one token, the end. Without training
-    rows every count is 0. Repeated rows count as often as they are there. Other columns
-    are ignored. The order of floating-point sums may change a score's last digits.
+    out; a null id never is). own_words: how many words have vectors at most, of those seen
+    least_count times or more (below 2^16). Null texts are empty: one token, the end. Texts
+    count whole, however long; a long one stays within its shard. Without training rows
+    every count is 0. Repeated rows count as often as they are there. No rows give no rows.
+    Other columns are ignored. Partitions do not change the model; the order in which
+    shards' parameters are summed may change scores by rounding.
     """
     held = F.coalesce((remainder(F.col("doc_id"), 5) == 1) & F.col("doc_id").isNotNull(), F.lit(False))
     counts = scratch(word_counts(docs.where(~held)), "word-counts")
-    v = Vocabulary(counts, head_words)
-    base = scratch(as_symbols(docs, v), "symbols")
-    flat = train(base.where("not held_out"), v.symbol_counts, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((flat, v.symbol_counts))  # of fixed size
+    v = Vocabulary(counts, head_words, min(own_words, 65_000), least_count)
+    base = scratch(as_codes(docs, v), "codes")
+    flat = train(base.where("not held_out"), v.model, v.tokens, rounds, shard_tokens)
+    shared = docs.sparkSession.sparkContext.broadcast((flat, v.model))  # of a stated size
     kind = docs.schema["doc_id"].dataType
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share"]
 
     def run(batches):
-        at, symbol_counts = shared.value
-        table = None
+        at, plan = shared.value
+        model = Model(*plan).load(at)
         for b in batches:
-            if table is None:
-                table = Model(symbol_counts).load(at).log_probabilities().ravel()
-            symbols, ends = _laid_out(b.column(len(names)))
-            each = table[trigram_keys(symbols, ends)].astype(np.float64)
+            codes, ends = _laid_out([x.as_py() for x in b.column(len(names))])
+            each = model.log_probabilities(codes, *contexts(codes, ends))
             sums = np.add.reduceat(each, ends[:-1]) if len(each) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(sums + b.column(len(names) - 1).to_numpy())], names=[*names[:-1], "score"])
 
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, score double")])
-    first = base.select(*names, "symbols").mapInArrow(run, schema)
+    first = base.select(*names, "codes").mapInArrow(run, schema)
     # The words beyond the most frequent ones meet their counts in a join.
     tail = base.where(F.size("tail") > 0).select("row", F.inline("tail")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("seen"))

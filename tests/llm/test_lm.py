@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from helpers import AWKWARD, docs, rows
 
-from molmill.llm.lm import SYMBOLS, Model, lm_scores
+from molmill.llm.lm import CLASSES, GROUPS, SINGLES, Model, Vocabulary, lm_scores, word_counts
 
 DATA = "/root/testdata/sf0.01"
 
@@ -43,11 +43,70 @@ def test_better_than_the_base_on_held_out_texts(spark):
     assert gain > 0.05
 
 
-def test_the_model_is_normalised_and_its_gradient_right():
-    r = np.random.default_rng(1)
-    counts = r.integers(1, 100, SYMBOLS).astype(float)
-    m = Model(counts)
-    assert np.allclose((10.0 ** m.log_probabilities()[::977].astype(float)).sum(axis=1), 1, atol=1e-4)
+def small_model(seed=1):
+    r = np.random.default_rng(seed)
+    first = SINGLES + np.array([5 * g for g in range(GROUPS + 1)])
+    return Model(first, r.integers(1, 100, int(first[-1]) + CLASSES).astype(float)), r
+
+
+def test_the_model_is_normalised():
+    m, _ = small_model()
+    every = np.arange(m.codes)
+    for near, far in ((0, 0), (3, 200), (m.codes - 1, 7)):
+        p = 10.0 ** m.log_probabilities(every, np.full(m.codes, near), np.full(m.codes, far))
+        assert np.isclose(p.sum(), 1, atol=1e-5)
+
+
+def test_the_gradient_agrees_with_differences():
+    m, r = small_model()
+    m.part = {k: p.astype(np.float64) for k, p in m.part.items()}
+    token, near, far = r.integers(0, m.codes, (3, 60))
+    noise = m.drawn(token, r)
+    _, gradient = m.gradient(token, near, far, *noise)
+    for name, g in gradient.items():
+        p = m.part[name]
+        dense = np.zeros_like(p)
+        if isinstance(g, tuple):
+            np.add.at(dense, g[0], g[1])
+        else:
+            dense += g
+        for at in [tuple(r.integers(0, k) for k in p.shape) for _ in range(20)] + [np.unravel_index(np.abs(dense).argmax(), p.shape)]:
+            old = p[at]
+            p[at] = old + 1e-5
+            high = m.gradient(token, near, far, *noise)[0]
+            p[at] = old - 1e-5
+            low = m.gradient(token, near, far, *noise)[0]
+            p[at] = old
+            assert np.isclose((high - low) / 2e-5, dense[at], rtol=1e-4, atol=1e-5), name
+
+
+def test_noise_follows_the_counts():
+    m, r = small_model()
+    token = np.repeat(np.arange(SINGLES, SINGLES + 10), 4000)  # two groups' words
+    _, words = m.drawn(token, r)
+    assert ((words // 5) == ((token - SINGLES) // 5)[:, None]).all()
+    share = np.exp(m.log_word_noise[:5].astype(float)) / 8
+    got = np.bincount(words[: 5 * 4000].ravel(), minlength=5)[:5]
+    assert np.allclose(got / got.sum(), share, atol=0.01)
+
+
+def test_partitions_do_not_change_scores(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    got = [dict(rows(lm_scores(d.repartition(n), shard_tokens=30_000), "doc_id", "score")) for n in (1, 4, 50)]
+    assert len(got[0]) == d.count()
+    for other in got[1:]:
+        assert all(abs(other[i] - x) < 1e-4 * abs(x) for i, x in got[0].items())
+
+
+def test_more_words_with_vectors_score_better(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    gain = {}
+    for own in (192, 16_384):
+        out = lm_scores(d, own_words=own, least_count=10).where("held_out").toPandas()
+        gain[own] = (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum()
+    v = [Vocabulary(word_counts(d), own_words=own, least_count=10).coverage for own in gain]
+    print("gain in log10 per token", gain, "coverage", v)
+    assert gain[16_384] > gain[192] and v[1] > v[0]
 
 
 def test_empty_table_and_all_held_out(spark):
