@@ -10,11 +10,11 @@ enough, so that they grow with the corpus up to a stated number; groups are runs
 in the order of their endings.
 
 Word counts cover all training rows. Texts are then written once as codes. Training goes
-over all of them in rounds: a hash of a row's id and text deals it to one of the shards,
-whose number follows from the number of tokens; each shard's task takes noise-contrastive
-steps through its texts in the order of their hashes, with noise drawn from the counts,
-and the shards' parameters, arrays of a stated size, are averaged by tokens. So a model
-does not depend on how the rows are partitioned.
+over each of them once: a hash of a row's id and text deals it to one of the rounds, and to
+one of the shards, whose number follows from the number of tokens. In a round each shard's
+task takes noise-contrastive steps through its texts in the order of their hashes, with
+noise drawn from the counts, and the shards' parameters, arrays of a stated size, are
+averaged by tokens. So a model does not depend on how the rows are partitioned.
 """
 
 import zlib
@@ -32,14 +32,14 @@ from pyspark.sql.window import Window
 from .common import remainder, scratch, spaced_words, summed
 
 END = b"\n"  # no word holds white space
-SINGLES, GROUPS, CLASSES = 128, 64, 64  # the end is among the singles
+SINGLES, GROUPS, CLASSES = 48, 48, 64  # the end is among the singles
 SYMBOLS = SINGLES + GROUPS + CLASSES
 WIDTH = 32
-NOISE, WORD_NOISE = 64, 8  # noise symbols a block of tokens, noise words a token
+NOISE, WORD_NOISE = 32, 3  # noise symbols a block of tokens, noise words a token
 HEAD_WORDS = 100_000
-OWN_WORDS, LEAST_COUNT = 16_384, 50
+OWN_WORDS, LEAST_COUNT = 8_192, 50
 SHARD_TOKENS = 4_000_000
-STEP = 2048
+STEP, SCORED = 1024, 512  # tokens a step trains on, and tokens whose scores of all symbols are held at once
 _FLUSH = 200_000
 
 
@@ -215,25 +215,26 @@ class Model:
         words = np.searchsorted(self.upto, low + order.random((len(group), WORD_NOISE)) * (high - low), side="right") - 1
         return noise, np.clip(words, (self.first[group] - SINGLES)[:, None], (self.first[group + 1] - SINGLES - 1)[:, None])
 
-    def gradient(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, words: np.ndarray) -> tuple[float, dict]:
-        """The noise-contrastive objective of tokens after contexts, and its gradient: rows and their values for tables, arrays for the matrices."""
+    def gradient(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, words: np.ndarray, objective: bool = False) -> tuple[float | None, dict]:
+        """The noise-contrastive objective of tokens after contexts, if asked for, and its gradient: rows and their values for tables, arrays for the matrices."""
         p = self.part
         q = self.vectors(near, far)
         s = self.symbol[token]
-        true = (q * p["target"][s]).sum(axis=1) + p["bias"][s] - self.log_noise[s]
+        own = p["target"][s]
+        true = np.einsum("bd,bd->b", q, own) + p["bias"][s] - self.log_noise[s]
         fake = q @ p["target"][noise].T + p["bias"][noise] - self.log_noise[noise]
         up, down = 1 / (1 + np.exp(np.clip(true, -30, 30))), -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        dq = up[:, None] * p["target"][s] + down @ p["target"][noise]
+        dq = up[:, None] * own + down @ p["target"][noise]
         at = np.flatnonzero((s >= SINGLES) & (s < SINGLES + GROUPS))
         w, q2 = token[at] - SINGLES, q[at]
-        far_words = p["word"][words]
-        true2 = (q2 * p["word"][w]).sum(axis=1) + p["word_bias"][w] - self.log_word_noise[w]
-        fake2 = np.matmul(far_words, q2[:, :, None])[:, :, 0] + p["word_bias"][words] - self.log_word_noise[words]
+        own_words, far_words = p["word"][w], p["word"][words]
+        true2 = np.einsum("bd,bd->b", q2, own_words) + p["word_bias"][w] - self.log_word_noise[w]
+        fake2 = np.einsum("bkd,bd->bk", far_words, q2) + p["word_bias"][words] - self.log_word_noise[words]
         up2, down2 = 1 / (1 + np.exp(np.clip(true2, -30, 30))), -1 / (1 + np.exp(np.clip(-fake2, -30, 30)))
-        dq[at] += up2[:, None] * p["word"][w] + np.matmul(down2[:, None, :], far_words)[:, 0]
+        dq[at] += up2[:, None] * own_words + np.einsum("bk,bkd->bd", down2, far_words)
         word_rows = np.concatenate([w, words.ravel()])
-        objective = sum(float(_log_sigmoid(x.astype(np.float64)).sum()) for x in (true, -fake, true2, -fake2))
-        return objective, {
+        value = sum(float(_log_sigmoid(x.astype(np.float64)).sum()) for x in (true, -fake, true2, -fake2)) if objective else None
+        return value, {
             "near": p["context"][near].T @ dq, "far": p["context"][far].T @ dq,
             "context": (np.concatenate([near, far]), np.concatenate([dq @ p["near"].T, dq @ p["far"].T])),
             "target": (np.concatenate([s, noise]), np.concatenate([up[:, None] * q, down.T @ q])), "bias": (np.concatenate([s, noise]), np.concatenate([up, down.sum(axis=0)])),
@@ -246,7 +247,7 @@ class Model:
         for at in range(0, len(token), 1 << 17):
             t = token[at : at + (1 << 17)]
             q, s = self.vectors(near[at : at + len(t)], far[at : at + len(t)]), self.symbol[t]
-            got = np.concatenate([_picked(q[i : i + 4096], p["target"], p["bias"], s[i : i + 4096]) for i in range(0, len(t), 4096)])
+            got = np.concatenate([_picked(q[i : i + SCORED], p["target"], p["bias"], s[i : i + SCORED]) for i in range(0, len(t), SCORED)])
             by = np.argsort(s, kind="stable")
             ends = np.searchsorted(s[by], np.arange(SINGLES, SINGLES + GROUPS + 1))
             for g in range(GROUPS):
@@ -278,13 +279,13 @@ class Adagrad:
         for k, g in gradient.items():
             p, total = self.model.part[k], self.sum[k]
             if isinstance(g, tuple):
-                rows, values = g
+                rows, values = g[0].astype(np.uint16), g[1]  # numbers below 2^16, which sort in two passes
                 if not len(rows):
                     continue
                 by = np.argsort(rows, kind="stable")
                 rows = rows[by]
                 start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                rows, g = rows[start], np.add.reduceat(values[by], start, axis=0)
+                rows, g = rows[start].astype(np.intp), np.add.reduceat(values[by], start, axis=0)
                 total[rows] += g * g
                 p[rows] += self.rate * g / np.sqrt(total[rows])
             else:
@@ -305,11 +306,11 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], tokens: int, rounds: int = 2, shard_tokens: int = SHARD_TOKENS, rate: float = 0.15) -> np.ndarray:
-    """Flat parameters after rounds over all rows(doc_id, codes), which have so many tokens."""
+    """Flat parameters after all rows(doc_id, codes), which have so many tokens, were gone through once: a part of them in each round."""
     flat = Model(*model).flat()
     shards = max(1, round(tokens / shard_tokens))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "codes")
-    dealt = rows.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("place"), "codes")
+    dealt = rows.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("place"), F.pmod(F.xxhash64(key), F.lit(rounds)).alias("round"), "codes")
     for turn in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast((flat, model))  # of a stated size
 
@@ -325,10 +326,10 @@ def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], tokens: int, ro
                 steps.step(model.gradient(*block, *model.drawn(block[0], order))[1])
             return pa.table({"payload": pa.array([np.append(model.flat() * len(codes), len(codes)).tobytes()], type=pa.binary())})
 
-        total = summed(dealt.groupBy("shard").applyInArrow(run, "payload binary"))
+        total = summed(dealt.where(F.col("round") == turn).groupBy("shard").applyInArrow(run, "payload binary"))
         shared.unpersist()
         if total is None:
-            break
+            continue
         flat = (total[:-1] / total[-1]).astype(np.float32).astype(np.float64)
     return flat
 
