@@ -55,8 +55,9 @@ def pocket(receptor: DataFrame, ligand: DataFrame, radius: float = 8.0, key: str
     if radius <= 0:
         return receptor
     residue = [key, "chain", "res_num"]
-    near = near_pairs(receptor.select(*residue, *XYZ), ligand.select(key, *XYZ), key, radius)
-    return receptor.join(near.select(*residue).distinct(), residue, "left_semi")
+    # The ligand has fewer atoms, so it is the side that goes to the cells around.
+    near = near_pairs(ligand.select(key, *XYZ), receptor.select(*residue, *XYZ), key, radius)
+    return receptor.join(near.select(key, *(F.col(f"r_{c}").alias(c) for c in residue[1:])).distinct(), residue, "left_semi")
 
 
 def self_pairs(atoms: DataFrame, condition: Column) -> DataFrame:
@@ -221,9 +222,9 @@ def excess_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return ranked.select("mol_id", "atom_idx", "i", "j", "stretch", "nth", (F.col("nth") <= F.col("valence") - F.col("cap")).alias("excess"))
 
 
-def pair_potential(atoms: DataFrame, r_min: float = 3.0, depth: float = 1.0) -> DataFrame:
-    """Half the sum over ordered atom pairs, so the sum over pairs, of the pair potential."""
-    p = self_pairs(atoms, F.col("d") > 0).groupBy("mol_id").agg(F.sum(lennard_jones(F.col("d"), r_min, depth)).alias("potential"))
+def pair_potential(atoms: DataFrame, r_min: float = 3.0, depth: float = 1.0, least: float = 0.0) -> DataFrame:
+    """Half the sum over ordered atom pairs, so the sum over pairs, of the pair potential; pairs at least or nearer are left out."""
+    p = self_pairs(atoms, F.col("d") > least).groupBy("mol_id").agg(F.sum(lennard_jones(F.col("d"), r_min, depth)).alias("potential"))
     return atoms.select("mol_id").distinct().join(p, "mol_id", "left").fillna(0.0, ["potential"])
 
 

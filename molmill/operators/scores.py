@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import scratch
+
+_INDEX_BITS = 33  # monotonically_increasing_id keeps the index in a partition in its low 33 bits
 
 def ordered(c: str, increase: bool = False) -> Column:
     """Best first, missing values last: ascending unless the score is to be increased."""
@@ -116,3 +119,17 @@ def output_names(best: DataFrame, value: str = "affinity", tie: str = "mol_idx")
 
 def cluster_sizes(rows: DataFrame, by=("model", "pdb_id", "cluster")) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def global_order(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place, from 1, in the order of all rows; ties in a free order.
+
+    A range shuffle sorts the rows into partitions; a row's place is its index there and the
+    rows of the partitions before, which one row a partition counts. Nothing is sorted in one task.
+    """
+    cut = scratch(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("place", _INDEX_BITS)
+    sizes = cut.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + 1).alias("start"))
+    placed = cut.join(F.broadcast(starts), part == F.col("part"))  # one row per partition of the range shuffle
+    return placed.withColumn("place", F.col("start") + F.col("place").bitwiseAND((1 << _INDEX_BITS) - 1)).drop("part", "start")

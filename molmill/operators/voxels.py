@@ -72,11 +72,10 @@ def gaussian_kernel(var: float = 0.15, trunc: float = 1.5, resolution: float = 0
 
 
 def density(voxels: DataFrame, kernel: list[tuple[int, int, int, float]], side: int = 48) -> DataFrame:
-    """The grid convolved with a kernel, nothing beyond its borders. The kernel has k^3 rows (343 at most by default), so it is sent to every task."""
-    k = voxels.sparkSession.createDataFrame(kernel, "ox int, oy int, oz int, kw double")
-    spread = voxels.crossJoin(F.broadcast(k)).select(
-        "mol_id", "channel", *((F.col(i) + F.col(f"o{c}")).alias(i) for i, c in zip(VOXEL, XYZ, strict=True)), (F.col("v") * F.col("kw")).alias("v")
-    )
+    """The grid convolved with a kernel, nothing beyond its borders. The kernel, k^3 weights (343 at most by default), is a literal array."""
+    k = F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for c, v in zip(XYZ, at, strict=True)), F.lit(w).alias("kw")) for *at, w in kernel))
+    spread = voxels.select("mol_id", "channel", *VOXEL, "v", F.inline(k))
+    spread = spread.select("mol_id", "channel", *((F.col(i) + F.col(f"o{c}")).alias(i) for i, c in zip(VOXEL, XYZ, strict=True)), (F.col("v") * F.col("kw")).alias("v"))
     inside = spread.where(" and ".join(f"{i} between 0 and {side - 1}" for i in VOXEL))
     return inside.groupBy("mol_id", "channel", *VOXEL).agg(F.sum("v").alias("v"))
 

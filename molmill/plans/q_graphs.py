@@ -6,6 +6,7 @@ from ..operators import filters as O
 from ..operators import graphs as G
 from ..operators import similarity as L
 from ..operators import scores
+from . import jobs
 from .registry import VIEWS, query, rounded, view
 
 _WORD = "CAST(list_sum(list_transform(range({a}, {b}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << (i - {a}) ELSE 0 END)) AS BIGINT)"
@@ -59,6 +60,12 @@ def df3_diverse_selection(spark, d):
     return scores.diverse_top(rows, 5, "affinity", by=("grp",), tie="mol_id")
 
 
+@query()
+def df3_selection(spark, d):
+    """The whole selection: latest generation, below the target's threshold, clustered by fingerprint, the best of each cluster first."""
+    return jobs.selection([view(spark, d, "v_scores")], 0.75, 5, fps=fps(spark, d).drop("grp"), cutoff=0.6).select("pdb_id", "mol_idx", "cluster", "pick")
+
+
 _REACH = """
 WITH RECURSIVE e AS (SELECT mol_id, i AS a, j AS b FROM v_bonds UNION ALL SELECT mol_id, j, i FROM v_bonds),
 r AS (SELECT mol_id, atom_idx, atom_idx AS other FROM v_atoms UNION SELECT r.mol_id, r.atom_idx, e.b FROM r JOIN e ON r.mol_id = e.mol_id AND r.other = e.a),

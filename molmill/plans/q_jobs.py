@@ -1,6 +1,5 @@
 """Queries of whole workloads, unions, extension points and incremental jobs."""
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from ..operators.voxels import union_in_order
 from ..sources import parse as P
 from ..sources import readers as R
 from ..sources import writers as W
+from ..storage import fresh_dir
 from ..streaming import ingest as T
 from . import jobs
 from .q_sampling import EDGES, _bin
@@ -137,7 +137,7 @@ def k3_complex_rows(spark, d):
 
 @query("SELECT CAST(mol_id % 7 AS INT) AS file, count(*) AS n, sum(mol_id)::BIGINT AS ids FROM (SELECT DISTINCT mol_id FROM v_atoms) t GROUP BY 1")
 def k8_blocks_by_file(spark, d):
-    at = _shared(spark)
+    at = fresh_dir(spark)
     W.write_blocks_by_file(view(spark, d, "v_atoms").select("mol_id").distinct().select((F.col("mol_id") % 7).alias("file"), F.concat(F.lit("block "), "mol_id").alias("block")), at)
     back = spark.read.text(at, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "file=([0-9]+)", 1).cast("int").alias("file"), F.substring_index("value", " ", -1).cast("long").alias("id"))
     return back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
@@ -212,15 +212,10 @@ def x5_grouped_apply(spark, d):
     return got.select("pdb_id", "n", r6(F.col("high") - F.col("low")).alias("span"))
 
 
-def _shared(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/molmill-{uuid.uuid4().hex}"
-
-
 @query("SELECT concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, count(*) FILTER (WHERE atomic_num <> 1) AS num_atoms FROM v_atoms GROUP BY mol_id HAVING count(*) FILTER (WHERE atomic_num <> 1) BETWEEN 4 AND 10")
 def t1_incremental_ingest(spark, d):
     """Blocks are written as SDF files in two parts; each run takes up only files that the ones before it have not."""
-    at = _shared(spark)
+    at = fresh_dir(spark)
     mols = blocks(spark, d).withColumnRenamed("mol_id", "mol_idx")
     keep = lambda df: MolFilter(natoms_min=4, natoms_max=10).keep(jobs.molecule_rows(df)).select("name", "num_atoms")
     for part in (0, 1):
@@ -231,7 +226,7 @@ def t1_incremental_ingest(spark, d):
 
 @query("SELECT file, count(*) AS processed, count(*) FILTER (WHERE dock_success) AS valid, count(*) FILTER (WHERE dock_success AND affinity < -50) AS sampled FROM v_scores GROUP BY file")
 def t2_running_totals(spark, d):
-    at, name = _shared(spark), f"totals_{uuid.uuid4().hex}"
+    at, name = fresh_dir(spark), f"totals_{uuid.uuid4().hex}"
     rows = view(spark, d, "v_scores").select("file", "dock_success", "affinity")
     for part in (0, 1):
         rows.where(F.pmod(F.xxhash64("file", "affinity"), F.lit(2)) == part).write.mode("append").parquet(f"{at}/in")
@@ -239,19 +234,40 @@ def t2_running_totals(spark, d):
     return spark.table(f"{name}_1")
 
 
-@query("""
-WITH b AS (SELECT pdb_id, row_number() OVER (PARTITION BY pdb_id ORDER BY affinity NULLS LAST, mol_idx) AS pick FROM v_scores WHERE model = 'run_opt3')
-SELECT c AS cycle, count(*) AS n FROM b, (SELECT unnest([1, 2, 3]) AS c) t WHERE pick <= 4 AND pdb_id IN (SELECT concat('p', CAST(s_suppkey AS VARCHAR)) FROM supplier) GROUP BY c""")
+_TAKEN = "SELECT pdb_id, mol_idx, affinity FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY affinity NULLS LAST, mol_idx) AS pick FROM {}) t WHERE pick <= 4"
+
+
+@query(f"""
+WITH r AS (SELECT concat('p', CAST(s_suppkey AS VARCHAR)) AS pdb_id FROM supplier),
+g0 AS (SELECT s.pdb_id, mol_idx, affinity FROM v_scores s JOIN r ON s.pdb_id = r.pdb_id WHERE model = 'run_opt3'),
+c1 AS ({_TAKEN.format('g0')}), g1 AS (SELECT pdb_id, mol_idx * 10 + k AS mol_idx, affinity - 0.5 * k AS affinity FROM c1, (SELECT unnest([1, 2]) AS k) x),
+c2 AS ({_TAKEN.format('g1')}), g2 AS (SELECT pdb_id, mol_idx * 10 + k AS mol_idx, affinity - 0.5 * k AS affinity FROM c2, (SELECT unnest([1, 2]) AS k) x),
+c3 AS ({_TAKEN.format('g2')})
+SELECT 1 AS cycle, pdb_id, mol_idx, R6[[affinity]] AS affinity FROM c1 UNION ALL SELECT 2, pdb_id, mol_idx, R6[[affinity]] FROM c2 UNION ALL SELECT 3, pdb_id, mol_idx, R6[[affinity]] FROM c3""")
 def t3_generation_cycles(spark, d):
-    at = _shared(spark)
+    """Each cycle's results are two children of every molecule that the cycle before chose, better by a half and by one."""
+    at = fresh_dir(spark)
     receptors = view(spark, d, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("pdb_id"), F.replace("s_name", F.lit("#"), F.lit("")).alias("path"))
-    select = lambda df: scores.output_names(scores.top(scores.latest_generation(df), 4, "affinity"))
-    results = lambda cycle: view(spark, d, "v_scores")
+    first = scores.latest_generation(view(spark, d, "v_scores").join(receptors.select("pdb_id"), "pdb_id", "left_semi"))
+    chosen = lambda cycle: spark.read.parquet(f"{at}/chosen_{cycle}")
+
+    def results(cycle):
+        if cycle == 0:
+            return first.select("pdb_id", "mol_idx", "affinity", "model")
+        child = F.explode(F.array(F.lit(1), F.lit(2))).alias("k")
+        rows = chosen(cycle).select("pdb_id", "mol_idx", "affinity", child)
+        return rows.select("pdb_id", (F.col("mol_idx") * 10 + F.col("k")).alias("mol_idx"), (F.col("affinity") - 0.5 * F.col("k")).alias("affinity"), F.concat(F.lit("run_opt"), F.lit(3 + cycle)).alias("model"))
+
+    def select(rows, cycle):
+        taken = scores.top(rows, 4, "affinity")
+        taken.select("pdb_id", "mol_idx", "affinity").write.mode("overwrite").parquet(f"{at}/chosen_{cycle + 1}")
+        return scores.output_names(taken)
+
     T.generations(results, select, receptors, at, 2)
     written = T.generations(results, select, receptors, at, 3)
     assert [w.rsplit("_", 1)[1] for w in written] == ["3"]  # the first two were there
-    rows = spark.read.text([f"{at}/cycle_{c}" for c in (1, 2, 3)]).select(F.regexp_extract(F.col("_metadata.file_path"), "cycle_([0-9]+)", 1).cast("int").alias("cycle"))
-    return rows.groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    every = [chosen(c).select(F.lit(c).alias("cycle"), "pdb_id", "mol_idx", r6("affinity").alias("affinity")) for c in (1, 2, 3)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
 
 
 @query("SELECT conv_id, turn, generate_subscripts(p, 1) - 1 AS nth, unnest(p) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p FROM conversations) t")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import scores as S
+from . import jobs
 from .registry import query, rounded, view
 
 _TOP = """
@@ -16,8 +17,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY affinity NULLS L
 
 
 def selection(spark, d, n=5, q=0.75):
-    ok = view(spark, d, "v_scores").where("dock_success")
-    return S.top(S.better_than_threshold(S.latest_generation(ok), S.quantiles(ok, q)), n, "affinity")
+    return jobs.selection([view(spark, d, "v_scores")], q, n)
 
 
 @query(_TOP + "SELECT pdb_id, mol_idx, optnum, R6[[affinity]] AS affinity, R6[[threshold]] AS threshold, pick FROM r WHERE pick <= 5")
@@ -134,12 +134,9 @@ def w7_output_names(spark, d):
     return S.output_names(selection(spark, d)).select("pdb_id", "mol_idx", "name")
 
 
-@query("SELECT mol_idx, row_number() OVER (ORDER BY affinity DESC NULLS LAST, mol_idx) AS place FROM v_scores ORDER BY place LIMIT 100")
+@query("SELECT mol_idx, row_number() OVER (ORDER BY affinity DESC NULLS LAST, mol_idx) AS place FROM v_scores")
 def o7_global_order(spark, d):
-    from pyspark.sql.window import Window
-
-    best = view(spark, d, "v_scores").orderBy(S.ordered("affinity", True), "mol_idx").limit(100)  # a report of the best hundred
-    return best.select("mol_idx", F.row_number().over(Window.orderBy(S.ordered("affinity", True), "mol_idx")).cast("long").alias("place"))
+    return S.global_order(view(spark, d, "v_scores").select("mol_idx", "affinity"), S.ordered("affinity", True), F.col("mol_idx").asc()).select("mol_idx", "place")
 
 
 @query("""

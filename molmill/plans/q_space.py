@@ -184,9 +184,7 @@ def w6_excess_bonds(spark, d):
 WITH {_PAIRS}, s AS (SELECT mol_id, sum(pow(3.0 * pow(2.0, -1.0 / 6) / d, 12) - pow(3.0 * pow(2.0, -1.0 / 6) / d, 6)) AS p FROM pairs WHERE d > 1 GROUP BY mol_id)
 SELECT m.mol_id, round(coalesce(p, 0), 4) AS potential FROM (SELECT DISTINCT mol_id FROM v_atoms) m LEFT JOIN s ON m.mol_id = s.mol_id""")
 def f12_pair_potential(spark, d):
-    a = atoms(spark, d)
-    p = G.self_pairs(a, F.col("d") > 1).groupBy("mol_id").agg(F.sum(E.lennard_jones(F.col("d"), 3.0, 1.0)).alias("p"))
-    return a.select("mol_id").distinct().join(p, "mol_id", "left").select("mol_id", F.round(F.coalesce("p", F.lit(0.0)), 4).alias("potential"))
+    return G.pair_potential(atoms(spark, d), least=1.0).withColumn("potential", F.round("potential", 4))
 
 
 @query("SELECT event_id, R6[[tanh(value / 5) * 5]] AS clamped, R6[[exp(-((value / 100) * (value / 100)) / (2 * 0.15::DOUBLE))]] AS gauss FROM events")
@@ -264,9 +262,9 @@ _K = "kern AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c}, {w!r}::DOUB
 _DEN = f"{_ENC}, {_K}, den AS (SELECT mol_id, channel, ix + ox AS ix, iy + oy AS iy, iz + oz AS iz, sum(v * kw) AS v FROM vox, kern k(ox, oy, oz, kw) WHERE ix + ox BETWEEN 0 AND 11 AND iy + oy BETWEEN 0 AND 11 AND iz + oz BETWEEN 0 AND 11 GROUP BY ALL)"
 
 
-@query(f"WITH {_DEN} SELECT channel, count(*) AS n, round(sum(v), 3) AS total, round(max(v), 5) AS most FROM den GROUP BY channel")
+@query(f"WITH {_DEN} SELECT mol_id, channel, ix, iy, iz, round(v, 5) AS v FROM den")
 def v3_density(spark, d):
-    return blurred(spark, d).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), F.round(F.max("v"), 5).alias("most"))
+    return blurred(spark, d).withColumn("v", F.round("v", 5))
 
 
 @query(f"WITH {_ENC} SELECT mol_id, channel, ix // 2 AS ix, iy // 2 AS iy, iz // 2 AS iz, R6[[sum(v) / 8]] AS v FROM vox GROUP BY ALL")
@@ -359,6 +357,11 @@ def a18_channel_correlation(spark, d):
     return stats.channel_correlation(grid(spark, d), predicted(spark, d)).withColumn("r", F.round("r", 6))
 
 
+@query(f"WITH {_BOTH} SELECT round(avg(r), 6) AS r FROM (SELECT corr(t, p) AS r FROM pair GROUP BY channel) c")
+def a18_mean_correlation(spark, d):
+    return stats.mean_correlation(grid(spark, d), predicted(spark, d)).select(F.round("r", 6).alias("r"))
+
+
 @query(f"""
 WITH {_BOTH}, tt AS (SELECT * FROM vox WHERE v > 0.01), pp AS (SELECT * FROM prd WHERE v > 0.01), tot AS (SELECT channel AS a, count(*) AS total FROM tt GROUP BY 1),
 n AS (SELECT t.channel AS a, p.channel AS b, count(*) AS n FROM tt t JOIN pp p ON t.mol_id = p.mol_id AND t.ix = p.ix AND t.iy = p.iy AND t.iz = p.iz

@@ -6,6 +6,7 @@ from ..functions import expr as E
 from ..sources import parse as P
 from ..sources import readers as R
 from ..sources import writers as W
+from ..storage import fresh_dir
 from .registry import query, rounded, view
 
 _SYMBOL = "CASE atomic_num WHEN 1 THEN 'H' WHEN 6 THEN 'C' WHEN 7 THEN 'N' WHEN 8 THEN 'O' WHEN 9 THEN 'F' WHEN 15 THEN 'P' WHEN 16 THEN 'S' WHEN 17 THEN 'Cl' WHEN 35 THEN 'Br' END"
@@ -34,6 +35,14 @@ def s1_sdf_blocks(spark, d):
     return got.select("file", F.col("mol_idx").cast("long").alias("mol_idx"), P.molecule_name(F.col("block")).alias("name"), "block")
 
 
+@query(_BLOCKS + "SELECT concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, block FROM k")
+def s1_sdf_files(spark, d):
+    """Written as SDF files and read again."""
+    at = fresh_dir(spark, "sdf")
+    W.write_sdf(blocks(spark, d).withColumnRenamed("mol_id", "mol_idx"), at)
+    return R.read_sdf(spark, at).select("name", "block")
+
+
 def mol2(spark, d):
     atom = F.format_string("%7d A%d %10.4f %10.4f %10.4f %s.3", F.col("atom_idx") + 1, "atom_idx", "x", "y", "z", E.symbol_of(F.col("atomic_num")))
     a = view(spark, d, "v_atoms").groupBy("mol_id").agg(F.sort_array(F.collect_list(F.struct("atom_idx", atom.alias("line")))).alias("a"))

@@ -53,8 +53,8 @@ def _needed(text: str) -> list[str]:
     return out
 
 
-def _with(text: str) -> str:
-    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in _needed(text))
+def _with(text: str, kept: str = "") -> str:
+    views = ", ".join(f"{n} AS {kept}({VIEWS[n]})" for n in _needed(text))
     if not views:
         return text
     return re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", lambda m: f"WITH {m[1] or ''}{views}, ", text) if re.match(r"\s*WITH\b", text) else f"WITH {views} {text}"
@@ -78,7 +78,7 @@ def query(sql: str | None = None):
         if sql:
             text = re.sub(r"U\[\[(\w+), (.*?)\]\]", r"(CAST(concat('0x', substr(md5(concat('\1:', CAST(\2 AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)", sql)
             text = re.sub(r"R6\[\[(.*?)\]\]", r"(floor((\1) * 1000000 + 0.5) / 1000000)", text, flags=re.S)
-            ORACLE_SQL[f.__name__] = _with(text)
+            ORACLE_SQL[f.__name__] = _with(text, "MATERIALIZED ")  # each view is computed once, however often it is used
         return f
 
     return add

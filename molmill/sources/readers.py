@@ -2,9 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import parse as P
 
@@ -38,10 +39,28 @@ def split_blocks(texts: DataFrame, separator: str, *keys: str, skip_first: bool
     return texts.select(*keys, F.posexplode(kept).alias("mol_idx", "block"))
 
 
-def read_sdf(spark: SparkSession, paths, separator: str = r"\$\$\$\$\r?\n?", mark: str = "ZINC") -> DataFrame:
-    """(file, mol_idx, name, block), plain or gz; a file is one task's work, as its ordinals ask for."""
-    blocks = split_blocks(_texts(spark, paths), separator, "file")
-    return blocks.select("file", "mol_idx", F.coalesce(P.molecule_name(F.col("block"), mark), F.trim(F.get(P.lines(F.col("block")), 0))).alias("name"), "block")
+def _sdf_name(mark: str) -> Column:
+    return F.coalesce(P.molecule_name(F.col("block"), mark), F.trim(F.get(P.lines(F.col("block")), 0)))
+
+
+def read_sdf(spark: SparkSession, paths, separator: str = "$$$$\n", mark: str = "ZINC") -> DataFrame:
+    """(file, mol_idx, name, block), plain or gz. Blocks end with the separator; mol_idx is a block's place in its file.
+
+    Plain files are split between tasks. A block's place is its number in its split, and the
+    blocks of the splits before it, which one row a split counts; no block is shuffled.
+    """
+    rows = spark.read.option("lineSep", separator).text(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\$\$\$\$\s*$", "").alias("block"))
+    rows = rows.where(F.contains(F.rtrim("block"), F.lit("\n"))).withColumn("number", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "split").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    placed = rows.join(splits.select("file", "split", (before - F.col("first")).alias("shift")), ["file", "split"])
+    return placed.select("file", (F.col("number") + F.col("shift")).cast("int").alias("mol_idx"), _sdf_name(mark).alias("name"), "block")
+
+
+def read_sdf_whole(spark: SparkSession, paths, separator: str = r"\$\$\$\$\r?\n?", mark: str = "ZINC") -> DataFrame:
+    """The same for separators that differ, as a regular expression; a file is one task's work and has less than 2 GB."""
+    return split_blocks(_texts(spark, paths), separator, "file").select("file", "mol_idx", _sdf_name(mark).alias("name"), "block")
 
 
 def read_sdf_unnumbered(spark: SparkSession, paths) -> DataFrame:

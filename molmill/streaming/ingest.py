@@ -36,10 +36,10 @@ def totals_table(rows: DataFrame, out: str, checkpoint: str, valid: str = "true"
     return totals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
 
 
-def generations(results: Callable[[int], DataFrame], select: Callable[[DataFrame], DataFrame], receptors: DataFrame, folder: str, n_cycles: int) -> list[str]:
-    """Cycles up to n_cycles: each reads all results so far, selects, and writes the next inputs. What is there already is not done again.
+def generations(results: Callable[[int], DataFrame], select: Callable[[DataFrame, int], DataFrame], receptors: DataFrame, folder: str, n_cycles: int) -> list[str]:
+    """Cycles up to n_cycles: each reads the results that the cycle before led to, selects, and writes the next inputs. What is there already is not done again.
 
-    results(cycle) is the table of all results up to a cycle; select(table) has pdb_id, name. Returns the folders written.
+    results(cycle) is the table of results after so many cycles; select(table, cycle) has pdb_id, name. Returns the folders written.
     """
     spark = receptors.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -49,7 +49,7 @@ def generations(results: Callable[[int], DataFrame], select: Callable[[DataFrame
         done = path(f"{at}/_SUCCESS")
         if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             continue
-        W.write_next_inputs(W.next_inputs(select(results(cycle)), receptors, at), at)
+        W.write_next_inputs(W.next_inputs(select(results(cycle), cycle), receptors, at), at)
         out.append(at)
     return out
 
