@@ -1,7 +1,5 @@
-"""What the text operators share: tables, scratch tables, text rules, sums of arrays."""
+"""What the text operators share: tables, text rules, sums of arrays."""
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch  # noqa: F401
+
 SPACED = r"[^\x20\x09-\x0D]+"  # a run of anything but ASCII white space
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -18,22 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df once in the shared folder and read it back: later steps start from files that outlive executors."""
-    at = f"{shared_dir(df.sparkSession)}/molmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def size_in_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED)).cast("long")
 

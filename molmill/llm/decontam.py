@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,8 @@ def item_fingerprints(items: DataFrame, span: int = 13, gram: int = 5) -> DataFr
                     names=["gram_hash", "gram", "lead", "around", "item"],
                 )
 
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    # Ids are marked, so that items without one are told from them.
+    rows = items.select(F.coalesce(F.concat(F.lit("i"), F.col("item_id").cast("string")), F.lit("n")).alias("item"), "text")
     rows = rows.mapInArrow(run, "gram_hash long, gram int, lead int, around binary, item string")
     sets = rows.groupBy("gram_hash", "gram", "lead", "around").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return sets.withColumn("items_key", F.sha2(F.concat_ws(",", "items"), 256))
@@ -115,10 +116,12 @@ def candidates(docs: DataFrame, marks: np.ndarray, short: list[int], span: int =
 
 
 def _extended(batches, span: int):
-    """Joined fingerprints to hits: the run of equal words around each, if it is long enough."""
-    for row, at, gram, lead, around, item_lead, item_around, key in arrow_rows(batches, "row", "at", "gram", "lead", "around", "item_lead", "item_around", "items_key"):
-        out = []
-        for r, p, g, a, x, b, y, k in zip(row, at, gram, lead, around, item_lead, item_around, key, strict=True):
+    """Joined fingerprints with the run of equal words around each: how many words before and from its place on; only runs long enough stay."""
+    names = ["gram_hash", "gram", "lead", "around", "items_key"]
+    for batch in batches:
+        kept, left_of, right_of = [], [], []
+        each = next(arrow_rows([batch], "gram", "lead", "around", "item_lead", "item_around"))
+        for row, (g, a, x, b, y) in enumerate(zip(*each, strict=True)):
             x, y = x.split(b" "), y.split(b" ")
             if x[a : a + g] != y[b : b + g]:
                 continue
@@ -129,9 +132,16 @@ def _extended(batches, span: int):
             while a + right < len(x) and b + right < len(y) and x[a + right] == y[b + right]:
                 right += 1
             if left + right >= min(span, len(y)):
-                out.append((r, p - left, p + right, k))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["row", "first", "end", "items_key"])
+                kept.append(row)
+                left_of.append(left)
+                right_of.append(right)
+        if kept:
+            some = batch.select(names).take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(left_of, type=pa.int64()), pa.array(right_of, type=pa.int64())], names=[*names, "left", "right"])
+
+
+def _ids(items: Column) -> Column:
+    return F.transform(F.filter(items, lambda i: F.startswith(i, F.lit("i"))), lambda i: F.substring(i, 2, 1 << 30))
 
 
 def _verdicts(docs: DataFrame, items: DataFrame, span: int, gram: int, share: int) -> DataFrame:
@@ -144,13 +154,18 @@ def _verdicts(docs: DataFrame, items: DataFrame, span: int, gram: int, share: in
     base = scratch(candidates(docs, marks, short, span, gram), "candidates")
     each = base.where(F.size("found") > 0).select("row", F.inline("found"))
     ours = marks_of.select("gram_hash", "gram", F.col("lead").alias("item_lead"), F.col("around").alias("item_around"), "items_key")
-    hits = each.join(ours, ["gram_hash", "gram"]).mapInArrow(lambda batches: _extended(batches, span), "row long, first long, end long, items_key string")
+    # Each different fingerprint with its words around is extended once, however many documents share it.
+    keys = ["gram_hash", "gram", "lead", "around"]
+    found = each.select(*keys).distinct().join(ours, ["gram_hash", "gram"]).mapInArrow(
+        lambda batches: _extended(batches, span), "gram_hash long, gram int, lead int, around binary, items_key string, left long, right long"
+    )
+    hits = each.join(scratch(found, "extended"), keys).select("row", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("end"), "items_key")
     hits = scratch(hits.distinct(), "hits")
     words = hits.select("row", F.explode(F.sequence("first", F.col("end") - 1)).alias("word")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     sets = marks_of.select("items_key", "items").dropDuplicates(["items_key"])
     named = (
         hits.select("row", "items_key").distinct().join(sets, "items_key").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("row", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+        .select("row", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", _ids(F.col("items"))), 256).alias("items_sha256"))
     )
     n_hit = F.coalesce("n_hit", F.lit(0))
     return (
@@ -168,8 +183,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, gram: int =
     A word is hit inside any run of span words that an item of items(item_id, text) has too
     (inside the whole item, if that is shorter); a document is contaminated if it has a hit
     and one word in share or more is hit. Null and empty texts have no words and hit
-    nothing; items without an id or words match nothing. Repeated ids, of documents or
-    items, keep their rows apart, and an id counts once. Other columns are ignored.
+    nothing; items without words match nothing. Items without an id hit words like others;
+    together they count as one item in n_items, and have no part in items_sha256. Repeated
+    ids, of documents or items, keep their rows apart, and an id counts once. Texts count
+    whole, however long. Without documents there are no rows, without items no hits. Other
+    columns are ignored.
     """
     return _verdicts(docs, items, span, gram, share).drop("text_hash")
 

@@ -66,19 +66,10 @@ NOTICES += (
 )
 
 
-def phrase_places(words: list[bytes], text: bytes, phrase: bytes) -> list[int]:
-    """Starts of a phrase's words in a row; text is the words with a space around each."""
-    out, at = [], text.find(phrase)
-    while at >= 0:
-        out.append(text.count(b" ", 0, at))
-        at = text.find(phrase, at + 1)
-    return out
-
-
 class Index:
-    """Templates' words and the postings of their anchors."""
+    """Templates' words and the postings of their anchors; whole phrases, each with one anchor, are found by the same look-up."""
 
-    def __init__(self, notices, idf: dict[bytes, float], anchors: int):
+    def __init__(self, notices, idf: dict[bytes, float], anchors: int, phrases: tuple[str, ...] = ()):
         keys = lambda key: [k.encode().split() for k in ((key,) if isinstance(key, str) else key)]
         self.templates = [(label, words.encode().split(), keys(key)) for label, words, key in notices]
         self.postings, self.mass = defaultdict(list), []
@@ -88,14 +79,34 @@ class Index:
             for w in rare:
                 self.postings[w].extend((t, i, idf[w] / words.count(w)) for i, x in enumerate(words) if x == w)
         self.postings = dict(self.postings)
+        self.phrases, self.exact = [p.encode().split() for p in phrases], defaultdict(list)
+        for k, words in enumerate(self.phrases):
+            i = max(range(len(words)), key=lambda i: idf[words[i]])
+            self.exact[words[i]].append((k, i))
+        self.anchors = self.postings.keys() | self.exact.keys()
+
+    def places(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Where the anchors stand: one pass over the words for each anchor that is there."""
+        out = {}
+        for w in self.anchors & set(words):
+            at, out[w] = -1, []
+            for _ in range(words.count(w)):
+                at = words.index(w, at + 1)
+                out[w].append(at)
+        return out
 
-    def find(self, words: list[bytes], least_mass: float, least_share: float) -> list[tuple[str, int, int, float]]:
+    def whole(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """(number, first word) of all places of whole phrases."""
+        return [
+            (k, at - i) for w in self.exact.keys() & places.keys() for at in places[w] for k, i in self.exact[w]
+            if at >= i and words[at - i : at - i + len(self.phrases[k])] == self.phrases[k]
+        ]
+
+    def find(self, words: list[bytes], places: dict[bytes, list[int]], least_mass: float, least_share: float) -> list[tuple[str, int, int, float]]:
         """(label, first word, word after the last, share of the template's words that agree)."""
         votes = defaultdict(float)
-        for w in self.postings.keys() & set(words):
-            at = -1
-            for _ in range(words.count(w)):
-                at = words.index(w, at + 1)
+        for w in self.postings.keys() & places.keys():
+            for at in places[w]:
                 for t, i, weight in self.postings[w]:
                     votes[t, at - i] += weight
         out = []
@@ -139,11 +150,12 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int
     there are none. score is 1 with a base label, else the best share of a notice's words
     that agree, 0 without any. spans: label, first, last (the word after it) and share of
     each notice found. Null and empty texts have no words. Repeated rows are rows of their
-    own; other columns are ignored.
+    own; other columns are ignored. Texts count whole, however long; the work grows with
+    their length. No rows give no rows.
     """
-    vocabulary = sorted({w for _, words, _ in notices for w in words.encode().split()})
-    index = Index(notices, word_idf(docs, vocabulary), anchors)
-    wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
+    vocabulary = sorted({w for text in (*phrases, *(n[1] for n in notices)) for w in text.encode().split()})
+    index = Index(notices, word_idf(docs, vocabulary), anchors, tuple(phrases))
+    label_of = list(phrases.values())
     kind = docs.schema["doc_id"].dataType
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])
@@ -154,13 +166,10 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int
             out = []
             for x in b.column(1):
                 words = letter_words(x.as_py())
-                text = b" " + b" ".join(words) + b" "
-                base, places = set(), []
-                for phrase, label in wanted:
-                    if got := phrase_places(words, text, phrase):
-                        base.add(label)
-                        places += got
-                found = index.find(words, least_mass, least_share)
+                at = index.places(words)
+                hits = index.whole(words, at)
+                base, places = {label_of[k] for k, _ in hits}, [first for _, first in hits]
+                found = index.find(words, at, least_mass, least_share)
                 labels = base | {f[0] for f in found}
                 score = 1.0 if base else max((f[3] for f in found), default=0.0)
                 spans = [dict(zip(("label", "first", "last", "share"), f, strict=True)) for f in found]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder
+from .common import remainder, scratch
 
 SLOT_BITS = 18
 MAX_FIT_ROWS = 10_000
@@ -61,8 +61,8 @@ def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     return np.log(shares[1] / shares[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 0) -> np.ndarray:
-    """Weights, the last one the constant's, of the hinge-loss model with an L2 penalty.
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, the last one the constant's, of the hinge-loss model with an L2 penalty; the rows' dual variables and their upper bounds.
 
     Rows of the rarer class weigh as much in all as those of the other, up to fourfold each.
     """
@@ -87,7 +87,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], go
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return w, alpha, upper
 
 
 def fit_weights(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def fit_weights(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     if not len(rows) or good.all() or not good.any():
         return np.zeros((1 << SLOT_BITS) + 1, dtype=np.float32)
     ratios = log_count_ratios(rows, good)
-    w = dual_coordinate_descent(rows, [ratios[x] / np.sqrt(len(x) or 1) for x in rows], good)
+    w, *_ = dual_coordinate_descent(rows, [ratios[x] / np.sqrt(len(x) or 1) for x in rows], good)
     w[:-1] *= ratios
     return w.astype(np.float32)
 
@@ -124,14 +124,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
 
     Labels of one id are averaged, half and more counting as good; null labels and ids
     are ignored. All labelled ids count up to max_fit_rows; beyond, those whose hash lies
-    below the share that leaves about so many.
+    below the share that leaves about so many. Rows that agree in id and text count once; if
+    ids have so many different texts that there are twice max_fit_rows rows, those are cut likewise.
     """
     ids = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     n = ids.count()
     if n > max_fit_rows:
         ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)) < int((1 << 40) * max_fit_rows / n))
     # About max_fit_rows ids at most, so small.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "good")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = scratch(rows.select("text", "good", F.xxhash64("doc_id", "text", F.lit("fit")).alias("place")), "fit-rows")
+    n = rows.count()
+    if n > 2 * max_fit_rows:
+        rows = rows.where(F.pmod("place", F.lit(1 << 40)) < int((1 << 40) * max_fit_rows / n))
+    rows = rows.select("text", "good")
 
     def features(batches):
         for b in batches:
@@ -158,7 +164,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_F
 
     Only the text decides a score; null counts as the empty text. Repeated ids and texts
     get equal scores. A null id is not held out, as it never has a label. Without labels of
-    both classes every score is 0.5. Other columns are ignored.
+    both classes every score is 0.5. Texts count whole, however long. No rows give no rows.
+    Other columns are ignored.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_fit_rows))  # of fixed size
     kind = docs.schema["doc_id"].dataType

@@ -98,8 +98,10 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     to = F.filter(F.array(*(F.when(
         F.forall(F.array(*(p + x for p, x in zip(part, d, strict=True))), lambda v: v.between(0, _SIDE - 1)), F.col("cell") + sum(x * _SIDE**i for i, x in enumerate(d))
     ) for d in near)), lambda v: v.isNotNull())
-    left = tiles.select(F.col("cell").alias("a_cell"), F.col("piece").alias("a_piece"), F.col("fps").alias("a"), F.explode(to).alias("cell")).join(F.broadcast(cells.select("cell")), "cell", "left_semi")
-    pairs = left.join(tiles.withColumnRenamed("fps", "b"), "cell").where("a_cell <> cell or a_piece <= piece")
+    # A pair of tiles, not of cells, is what is dealt out: a cell of many fingerprints spreads over tasks.
+    left = tiles.select(F.col("cell").alias("a_cell"), F.col("piece").alias("a_piece"), F.col("fps").alias("a"), F.explode(to).alias("cell")).join(F.broadcast(cells), "cell")
+    left = left.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)).alias("piece")).where("a_cell <> cell or a_piece <= piece")
+    pairs = left.join(tiles.withColumn("piece", F.col("piece").cast("long")).withColumnRenamed("fps", "b"), ["cell", "piece"])
     pairs = pairs.select("a", "b", F.expr("a_cell = cell and a_piece = piece").alias("same"))
 
     def compare(batches):

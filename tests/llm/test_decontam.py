@@ -25,8 +25,8 @@ def plain(given, items):
                 for j in range(len(w) - n + 1):
                     if w[j : j + n] == v[i : i + n]:
                         hit.update(range(j, j + n))
-                        ids.add(str(item))
-        out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                        ids.add(item if item is None else str(item))
+        out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
@@ -50,7 +50,7 @@ def test_agrees_with_brute_force(spark):
     many, few = [f"w{i}" for i in range(500)], ["é", "b", "C1"]
     for seed, vocabulary in ((1, many), (2, few)):
         given, items = made(seed, 60, 12, vocabulary)
-        given, items = given + AWKWARD, items + [(7, None), (8, ""), (9, "..."), (2, items[2][1])]
+        given, items = given + AWKWARD, items + [(7, None), (8, ""), (9, "..."), (2, items[2][1]), (None, items[3][1]), (None, items[4][1] + " " + items[5][1])]
         if vocabulary is many:
             items += [(200, "One"), (201, "a b c")]
         table = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as gram", "2 as doc_id")

@@ -1,11 +1,13 @@
+import math
 import random
 import re
+import time
 
 from helpers import AWKWARD, docs, rows
 from pyspark.sql import functions as F
 
 from molmill.llm.chat import preference_pairs
-from molmill.llm.license import PHRASES, license_scan
+from molmill.llm.license import NOTICES, PHRASES, Index, license_scan, word_idf
 from molmill.llm.tokens import encoded_lengths, length_histogram, length_quantile, token_count, token_histogram, truncated_totals
 
 
@@ -42,6 +44,57 @@ def test_license_base_and_notices(spark):
     assert license_scan(docs(spark, [])).count() == 0
 
 
+def plain_notices(words, idf, anchors=5, least_mass=0.5, least_share=0.6):
+    """Every notice at every place, without an index."""
+    out = []
+    for label, text, key in NOTICES:
+        v, keys = text.split(), [k.split() for k in ((key,) if isinstance(key, str) else key)]
+        rare = sorted(set(v), key=lambda w: (-idf[w.encode()], w))[:anchors]
+        for start in range(-len(v) + 1, len(words)):
+            agree = [i for i in range(len(v)) if 0 <= start + i < len(words) and words[start + i] == v[i]]
+            mass = sum(idf[v[i].encode()] / v.count(v[i]) for i in agree if v[i] in rare)
+            near = words[max(0, start) : start + len(v)]
+            whole = all(any(near[i : i + len(k)] == k for i in range(len(near) - len(k) + 1)) for k in keys)
+            if mass >= least_mass * sum(idf[w.encode()] for w in rare) - 1e-9 and len(agree) / len(v) >= least_share and whole:
+                out.append((label, start + agree[0], start + agree[-1] + 1, round(len(agree) / len(v), 9)))
+    return sorted(out)
+
+
+def test_labels_and_scores_agree_with_brute_force(spark):
+    r = random.Random(9)
+    some = [w for _, text, _ in NOTICES for w in text.split()]
+    given = []
+    for i in range(150):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            text = r.choice(NOTICES)[1].split()
+            for _ in range(r.randrange(3)):
+                text[r.randrange(len(text))] = r.choice(some)
+            words += text[r.randrange(2) :] + [r.choice(some) for _ in range(r.randrange(4))]
+        given.append((i, " ".join(words)))
+    given += [(500 + i, "plain words that say nothing") for i in range(100)] + AWKWARD
+    vocabulary = sorted({w.encode() for text in (*PHRASES, *(n[1] for n in NOTICES)) for w in text.split()})
+    d = docs(spark, given)
+    idf = word_idf(d, vocabulary)
+    texts = dict(given)
+    for x in license_scan(d).where("doc_id < 500 and doc_id > 10").collect():
+        want = plain_notices(letter_words(texts[x.doc_id]), idf)
+        assert sorted((s.label, s["first"], s["last"], round(s.share, 9)) for s in x.spans) == want
+        base = set(filter(None, x.base_labels.split(",")))
+        assert x.labels == ",".join(sorted(base | {w[0] for w in want}))
+        assert math.isclose(x.score, 1.0 if base else max((w[3] for w in want), default=0.0), abs_tol=1e-8)
+
+
+def test_long_text_of_phrases():
+    """Work grows with the length: a megabyte of a phrase takes seconds, not minutes."""
+    words = b"cc by nc ".split() * 120_000
+    index = Index(NOTICES, dict.fromkeys({w.encode() for text in (*PHRASES, *(n[1] for n in NOTICES)) for w in text.split()}, 1.0), 5, tuple(PHRASES))
+    began = time.perf_counter()
+    at = index.places(words)
+    assert len(index.whole(words, at)) == 120_000 and not index.find(words, at, 0.5, 0.6)
+    assert time.perf_counter() - began < 60
+
+
 def test_token_histogram(spark):
     given = AWKWARD + [(100 + i, "Some text, " * (i * i % 97)) for i in range(200)]
     n = [r.n_tokens for r in encoded_lengths(docs(spark, given)).collect()]

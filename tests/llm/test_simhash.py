@@ -4,7 +4,8 @@ import re
 import xxhash
 from helpers import AWKWARD, docs, rows
 
-from molmill.llm.simhash import drop_near_copies, simhash_documents
+from molmill.llm.components import components
+from molmill.llm.simhash import drop_near_copies, near_links, simhash_documents
 
 
 def plain_fingerprint(text):
@@ -60,3 +61,20 @@ def test_one_row_of_each_group_stays(spark):
     got = rows(drop_near_copies(docs(spark, given)), "doc_id")
     want = {c for _, _, c in plain_classes(given)}
     assert sorted(x for (x,) in got if x is not None) == sorted(x for x in want if x is not None)
+
+
+def test_cells_of_several_tiles(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(25)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    at = {x: x for x in signed}
+    for i, x in enumerate(fps):
+        for j in range(i):
+            if (x ^ fps[j]).bit_count() <= 3 and at[signed[i]] != at[signed[j]]:
+                old, new = sorted((at[signed[i]], at[signed[j]]), reverse=True)
+                at = {k: new if v == old else v for k, v in at.items()}
+    linked = {k: v for k, v in at.items() if sum(w == v for w in at.values()) > 1}
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for tile in (3, 4096):
+        assert {x.node: x.component for x in components(near_links(table, tile=tile)).collect()} == linked
