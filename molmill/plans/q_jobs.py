@@ -17,7 +17,7 @@ from ..storage import fresh_dir
 from ..streaming import ingest as T
 from . import jobs
 from .q_sampling import EDGES, _bin
-from .q_text import blocks
+from .q_text import _CELLS, blocks, cells, packed
 from .registry import query, r6, rounded, view
 
 
@@ -92,14 +92,13 @@ def o8_split_membership(spark, d):
     return some[0].unionByName(some[1])
 
 
-@query("SELECT mol_id, count(*) AS n FROM v_atoms WHERE mol_id % 3 = 0 GROUP BY mol_id HAVING count(*) <= 40")
+@query(_CELLS + "SELECT name, nth, types, x, y, z FROM c WHERE mol_id % 3 = 0 AND n <= 40")
 def s9_packed_with_index(spark, d):
-    from .q_text import packed
-
-    rows = packed(spark, d, natoms_max=40, pad=False)
+    """Written as a packed table, read again, and restricted to the names of an index."""
+    at = fresh_dir(spark, "packed")
+    packed(spark, d, natoms_max=40, pad=False).write.parquet(at)
     index = view(spark, d, "v_atoms").where("mol_id % 3 = 0").select(F.col("mol_id").cast("string").alias("name"))
-    got = rows.join(index.distinct(), "name", "left_semi")
-    return got.select(F.col("name").cast("long").alias("mol_id"), F.size("atom_types").cast("long").alias("n"))
+    return cells(R.read_packed(spark, at, index), "name")
 
 
 @query("SELECT trim(p_name) AS name FROM part WHERE p_partkey % 7 <> 0")
@@ -126,21 +125,29 @@ def k9_model_texts(spark, d):
     return W.model_texts(rows.select(F.floor(F.col("mol_id") / 10).alias("file"), F.col("mol_id").alias("mol_idx"), block.alias("block")))
 
 
-@query("SELECT CAST(floor(mol_id / 100) AS BIGINT) AS pdb_id, count(*) FILTER (WHERE record = 'HETATM') AS n_ligand, count(*) FILTER (WHERE record = 'ATOM') AS n_protein FROM v_atoms GROUP BY 1 HAVING count(*) FILTER (WHERE record = 'HETATM') > 0 AND count(*) FILTER (WHERE record = 'ATOM') > 0")
+@query("""
+WITH a AS (SELECT *, CAST(floor(mol_id / 100) AS BIGINT) AS pdb_id FROM v_atoms),
+r AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, record ORDER BY mol_id, atom_idx) - 1 AS nth, count(*) FILTER (WHERE record = 'ATOM') OVER (PARTITION BY pdb_id) AS p, count(*) FILTER (WHERE record = 'HETATM') OVER (PARTITION BY pdb_id) AS l FROM a)
+SELECT pdb_id, CASE record WHEN 'ATOM' THEN 'prot' ELSE 'lig' END AS side, nth, atomic_num AS type, R6[[CAST(CAST(x AS FLOAT) AS DOUBLE)]] AS x, R6[[CAST(CAST(y AS FLOAT) AS DOUBLE)]] AS y, R6[[CAST(CAST(z AS FLOAT) AS DOUBLE)]] AS z
+FROM r WHERE p > 0 AND l > 0""")
 def k3_complex_rows(spark, d):
     a = view(spark, d, "v_atoms").withColumn("pdb_id", F.floor(F.col("mol_id") / 100))  # a hundred molecules a complex, however large the table
     place = F.sort_array(F.collect_list(F.struct("mol_id", "atom_idx", F.array(*(F.col(c).cast("float") for c in "xyz")).alias("p"), F.array(F.col("atomic_num").cast("smallint")).alias("t"))))
     half = lambda w, n: a.where(w).groupBy("pdb_id").agg(place.alias("a")).select("pdb_id", F.col("a.p").alias(f"{n}_coords"), F.col("a.t").alias(f"{n}_types"))
     rows = half("record = 'HETATM'", "lig").join(half("record = 'ATOM'", "prot"), "pdb_id")
-    return rows.select("pdb_id", F.size("lig_coords").cast("long").alias("n_ligand"), F.size("prot_types").cast("long").alias("n_protein"))
+    at = fresh_dir(spark, "complexes")
+    W.write_complexes(rows, at)
+    rows = spark.read.parquet(at)
+    each = [rows.select("pdb_id", F.lit(n).alias("side"), F.posexplode(F.arrays_zip(F.col(f"{n}_coords").alias("c"), F.col(f"{n}_types").alias("t"))).alias("nth", "a")) for n in ("lig", "prot")]
+    got = each[0].unionByName(each[1]).where(~F.isnan(F.col("a.c")[0]))
+    return got.select("pdb_id", "side", F.col("nth").cast("long").alias("nth"), F.col("a.t")[0].cast("long").alias("type"), *(r6(F.col("a.c")[i].cast("double")).alias(c) for i, c in enumerate("xyz")))
 
 
-@query("SELECT CAST(mol_id % 7 AS INT) AS file, count(*) AS n, sum(mol_id)::BIGINT AS ids FROM (SELECT DISTINCT mol_id FROM v_atoms) t GROUP BY 1")
+@query("SELECT CAST(mol_id % 7 AS INT) AS file, mol_id AS id FROM (SELECT DISTINCT mol_id FROM v_atoms) t")
 def k8_blocks_by_file(spark, d):
     at = fresh_dir(spark)
     W.write_blocks_by_file(view(spark, d, "v_atoms").select("mol_id").distinct().select((F.col("mol_id") % 7).alias("file"), F.concat(F.lit("block "), "mol_id").alias("block")), at)
-    back = spark.read.text(at, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "file=([0-9]+)", 1).cast("int").alias("file"), F.substring_index("value", " ", -1).cast("long").alias("id"))
-    return back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return spark.read.text(at, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "file=([0-9]+)", 1).cast("int").alias("file"), F.substring_index("value", " ", -1).cast("long").alias("id"))
 
 
 @query("SELECT mol_id, atom_idx, atomic_num AS num, 118 + atomic_num AS bto, CASE atomic_num WHEN 6 THEN 'C' WHEN 7 THEN 'N' WHEN 8 THEN 'O' WHEN 1 THEN 'H' WHEN 16 THEN 'S' WHEN 17 THEN 'Cl' WHEN 9 THEN 'F' WHEN 15 THEN 'P' WHEN 35 THEN 'Br' END AS symbol FROM v_atoms")

@@ -262,9 +262,11 @@ _K = "kern AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c}, {w!r}::DOUB
 _DEN = f"{_ENC}, {_K}, den AS (SELECT mol_id, channel, ix + ox AS ix, iy + oy AS iy, iz + oz AS iz, sum(v * kw) AS v FROM vox, kern k(ox, oy, oz, kw) WHERE ix + ox BETWEEN 0 AND 11 AND iy + oy BETWEEN 0 AND 11 AND iz + oz BETWEEN 0 AND 11 GROUP BY ALL)"
 
 
-@query(f"WITH {_DEN} SELECT mol_id, channel, ix, iy, iz, round(v, 5) AS v FROM den")
+@query(f"WITH {_DEN} SELECT mol_id, channel, count(*) AS n, round(sum(v), 4) AS total, round(max(v), 5) AS most, round(sum(v * (ix + 13 * iy + 169 * iz)), 2) AS place FROM den GROUP BY ALL")
 def v3_density(spark, d):
-    return blurred(spark, d).withColumn("v", F.round("v", 5))
+    place = F.col("v") * (F.col("ix") + 13 * F.col("iy") + 169 * F.col("iz"))
+    each = blurred(spark, d).groupBy("mol_id", "channel")
+    return each.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max("v"), 5).alias("most"), F.round(F.sum(place), 2).alias("place"))
 
 
 @query(f"WITH {_ENC} SELECT mol_id, channel, ix // 2 AS ix, iy // 2 AS iy, iz // 2 AS iz, R6[[sum(v) / 8]] AS v FROM vox GROUP BY ALL")

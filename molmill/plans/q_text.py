@@ -222,33 +222,41 @@ def k5_downcast(spark, d):
     return rounded(W.downcast(rows).withColumn("mw", F.col("mw").cast("double")), "mw")
 
 
-_PACKED = "WITH a AS (SELECT *, avg(x) OVER m AS cx, count(*) OVER m AS n FROM v_atoms WINDOW m AS (PARTITION BY mol_id)) "
-
-
 def packed(spark, d, **kw):
     types = E.feature_types(F.col("atomic_num"), F.col("is_hbd"), F.col("is_hba"), F.col("is_aromatic"), F.col("charge"))
     return W.packed(view(spark, d, "v_atoms").withColumn("types", types), **kw)
 
 
-@query(_PACKED + "SELECT CAST(mol_id AS VARCHAR) AS name, 8::BIGINT AS width, 10::BIGINT AS types, n AS filled, R6[[round(sum(abs(x - cx)), 3)]] AS spread, (8 - n) AS padding FROM a WHERE n <= 8 GROUP BY mol_id, n")
+def cells(rows, *keep):
+    """One row per atom of packed rows: nth, types (sorted, without padding) and centred coordinates to four places."""
+    each = rows.select(*keep, F.posexplode(F.arrays_zip("atom_types", "atom_coords")).alias("nth", "a")).where(~F.isnan(F.col("a.atom_coords")[0]))
+    place = {c: F.floor(F.col("a.atom_coords")[i].cast("double") * 10000 + 0.501) / 10000 for i, c in enumerate("xyz")}
+    types = F.array_join(F.sort_array(F.filter("a.atom_types", lambda t: t != -1)), ",")
+    return each.select(*keep, F.col("nth").cast("long").alias("nth"), types.alias("types"), *(v.alias(c) for c, v in place.items()))
+
+
+_TYPES = "[atomic_num, CASE WHEN is_hbd THEN 301 END, CASE WHEN is_hba THEN 302 END, CASE WHEN is_aromatic THEN 303 END, CASE WHEN charge > 0 THEN 304 WHEN charge < 0 THEN 306 ELSE 305 END]"
+_CELLS = f"""
+WITH a AS (SELECT *, avg(x) OVER m AS cx, avg(y) OVER m AS cy, avg(z) OVER m AS cz, count(*) OVER m AS n FROM v_atoms WINDOW m AS (PARTITION BY mol_id)),
+c AS (
+  SELECT mol_id, CAST(mol_id AS VARCHAR) AS name, n, atom_idx AS nth, array_to_string(list_sort(list_filter({_TYPES}, lambda v: v IS NOT NULL)), ',') AS types,
+         floor(CAST(CAST(x - cx AS FLOAT) AS DOUBLE) * 10000 + 0.501) / 10000 AS x, floor(CAST(CAST(y - cy AS FLOAT) AS DOUBLE) * 10000 + 0.501) / 10000 AS y,
+         floor(CAST(CAST(z - cz AS FLOAT) AS DOUBLE) * 10000 + 0.501) / 10000 AS z
+  FROM a) """
+
+
+@query(_CELLS + "SELECT name, 8::BIGINT AS width, 10::BIGINT AS slots, nth, types, x, y, z FROM c WHERE n <= 8")
 def k1_packed(spark, d):
-    real = F.filter("atom_coords", lambda c: ~F.isnan(c[0]))
-    return packed(spark, d, natoms_max=8).select(
-        "name", F.size("atom_coords").cast("long").alias("width"), F.size(F.get("atom_types", 0)).cast("long").alias("types"), F.size(real).cast("long").alias("filled"),
-        (F.floor(F.round(F.aggregate(real, F.lit(0.0), lambda s, c: s + F.abs(c[0]).cast("double")), 3) * 1000000 + 0.5) / 1000000).alias("spread"),
-        F.size(F.filter("atom_types", lambda t: t[0] == -1)).cast("long").alias("padding"),
-    )
+    rows = packed(spark, d, natoms_max=8).withColumns({"width": F.size("atom_coords").cast("long"), "slots": F.size(F.get("atom_types", 0)).cast("long")})
+    return cells(rows, "name", "width", "slots")
 
 
-@query("""
-WITH a AS (SELECT mol_id, count(*) AS n, max(2 + is_hbd::INT + is_hba::INT + is_aromatic::INT) AS t FROM v_atoms GROUP BY mol_id HAVING count(*) <= 8)
-SELECT count(*) AS mols, (SELECT max(n) FROM a) AS width, CAST((SELECT max(t) FROM a) AS BIGINT) AS types FROM a""")
+@query(_CELLS + ", m AS (SELECT max(n) AS width, max(len(string_split(types, ','))) AS slots FROM c WHERE n <= 8) SELECT name, CAST(width AS BIGINT) AS width, CAST(slots AS BIGINT) AS slots, nth, types, x, y, z FROM c, m WHERE n <= 8")
 def k2_combined(spark, d):
     one = packed(spark, d, natoms_max=8)
     never = one.limit(1).select("name", F.transform("atom_types", lambda t: F.transform(t, lambda v: F.lit(-1).cast("smallint"))).alias("atom_types"), "atom_coords")
-    parts = [one.where("name % 2 = 0"), one.where("name % 2 = 1"), never]
-    got = W.combined(parts)
-    return got.agg(F.count(F.lit(1)).alias("mols"), F.max(F.size("atom_types")).cast("long").alias("width"), F.max(F.size(F.get("atom_types", 0))).cast("long").alias("types"))
+    got = W.combined([one.where("name % 2 = 0"), one.where("name % 2 = 1"), never])
+    return cells(got.withColumns({"width": F.size("atom_types").cast("long"), "slots": F.size(F.get("atom_types", 0)).cast("long")}), "name", "width", "slots")
 
 
 @query("SELECT mol_id, atom_idx, list_sort(list_filter([atomic_num, CASE WHEN is_hbd THEN 301 END, CASE WHEN is_hba THEN 302 END, CASE WHEN is_aromatic THEN 303 END, CASE WHEN charge > 0 THEN 304 WHEN charge < 0 THEN 306 ELSE 305 END], lambda v: v IS NOT NULL)) AS types FROM v_atoms")
