@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, letter_words, scratch
+from .common import arrow_rows, free_names, letter_words, scratch
 
 BITMAP_BITS = 22
 _CANDIDATE = pa.struct([("gram_hash", pa.int64()), ("gram", pa.int32()), ("lead", pa.int32()), ("at", pa.int64()), ("around", pa.binary())])
@@ -195,6 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, gram: int =
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = 13, gram: int = 5, share: int = 20) -> DataFrame:
     """docs without the contaminated rows."""
     bad = _verdicts(docs, items, span, gram, share).where("contaminated").select("doc_id", "text_hash").distinct()
-    bad = scratch(bad.select(F.struct("doc_id", "text_hash").alias("hit row")), "contaminated")
-    match = docs["doc_id"].eqNullSafe(F.col("hit row.doc_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("hit row.text_hash"))
+    (hit,) = free_names(docs, "hit row")
+    bad = scratch(bad.select(F.struct("doc_id", "text_hash").alias(hit)), "contaminated")
+    match = docs["doc_id"].eqNullSafe(F.col(f"`{hit}`.doc_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"`{hit}`.text_hash"))
     return docs.join(bad, match, "left_anti")

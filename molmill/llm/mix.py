@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, size_in_words
+from .common import free_names, scratch, size_in_words
 
 BITS, ROW_BITS, LEVEL_BITS = 60, 63, 12
 WEIGHTS = (5, 2, 1)
@@ -141,16 +141,17 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float
 def mix_documents(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row of docs as often as the mix takes it, with its own columns. Same rules as mix_sizes."""
     names, row = docs.columns, F.monotonically_increasing_id()
+    planned, numbered, copy = free_names(docs, "mix plan", "mix row", "mix copy")
     plan = mix_plan(scratch(_sized(docs, seed), "mix-sizes"), weights, budget, most)
     if not plan.where("last is not null").isEmpty():
         # Rows that tie are told apart by numbers, which must not change between plan and use: the numbered rows are written.
-        docs = scratch(docs.withColumn("mix row", row), "mix-rows")
-        row = docs["mix row"]
+        docs = scratch(docs.withColumn(numbered, row), "mix-rows")
+        row = docs[numbered]
         plan = mix_plan(scratch(_sized(docs, seed, row), "mix-sizes"), weights, budget, most)
-    plan = plan.select(F.struct("source", "whole", "at", "last").alias("mix plan"))
-    copies = _copies("mix plan", _position(docs["doc_id"], docs["text"], seed), row)
+    plan = plan.select(F.struct("source", "whole", "at", "last").alias(planned))
+    copies = _copies(f"`{planned}`", _position(docs["doc_id"], docs["text"], seed), row)
     return (
-        docs.join(plan, docs["source"].eqNullSafe(F.col("mix plan.source")))
-        .withColumn("mix copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
-        .select(*(docs[c] for c in names))
+        docs.join(plan, docs["source"].eqNullSafe(F.col(f"`{planned}`.source")))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
+        .select(*(docs[f"`{c}`"] for c in names))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import free_names, scratch
 
 ROUNDS = 6  # even, so that the halves end where they began
 _PRIME, _FACTOR = 2_147_483_647, 1_103_515_245
@@ -64,19 +64,20 @@ def shard_rows(df: DataFrame, shards: int, order: list[str], seed: str = "shard"
     that are called shard or slot are replaced. An empty df stays empty.
     """
     df = df.drop("shard", "slot")
+    tie, row, part_of, first_of, place_of = free_names(df, "shard tie", "shard row", "shard part", "shard first", "shard place")
     number = F.monotonically_increasing_id()
     # The second number counts sorted rows: partition in the high bits, index in the low ones.
-    dealt = df.withColumn("shard tie", number).repartitionByRange(*order, "shard tie").sortWithinPartitions(*order, "shard tie")
-    dealt = scratch(dealt.drop("shard tie").withColumn("shard row", number), "shard-rows")
-    part = F.shiftright("shard row", _INDEX_BITS)
-    counts = dealt.groupBy(part.alias("shard part")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = df.withColumn(tie, number).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    dealt = scratch(dealt.drop(tie).withColumn(row, number), "shard-rows")
+    part = F.shiftright(row, _INDEX_BITS)
+    counts = dealt.groupBy(part.alias(part_of)).agg(F.count(F.lit(1)).alias("n"))
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    first = counts.select("shard part", (F.sum("n").over(Window.orderBy("shard part")) - F.col("n")).alias("shard first"))
-    place = permuted(F.col("shard first") + F.col("shard row").bitwiseAND((1 << _INDEX_BITS) - 1), feistel_plan(n, seed))
+    first = counts.select(part_of, (F.sum("n").over(Window.orderBy(part_of)) - F.col("n")).alias(first_of))
+    place = permuted(F.col(first_of) + F.col(row).bitwiseAND((1 << _INDEX_BITS) - 1), feistel_plan(n, seed))
     # One row per partition of the range shuffle: small whatever the data's size.
     return (
-        dealt.join(F.broadcast(first), part == F.col("shard part")).withColumn("shard place", place)
-        .select(*df.columns, (F.col("shard place") % shards).cast("int").alias("shard"), ((F.col("shard place") - F.col("shard place") % shards) / shards).cast("long").alias("slot"))
+        dealt.join(F.broadcast(first), part == F.col(part_of)).withColumn(place_of, place)
+        .select(*(dealt[f"`{c}`"] for c in df.columns), (F.col(place_of) % shards).cast("int").alias("shard"), ((F.col(place_of) - F.col(place_of) % shards) / shards).cast("long").alias("slot"))
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, spaced_words
+from .common import free_names, scratch, spaced_words
 from .components import components
 
 PARTS = 4
@@ -147,13 +147,14 @@ def simhash_documents(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Dat
 def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """docs with one document of each component: the one of the smallest id (then the smallest text hash), one row of it."""
     names = docs.columns
+    listed, copy_key = free_names(docs, "listed copy", "copy key")
     got = scratch(simhash_classes(scratch(fingerprints(docs, shingle), "fingerprints"), radius), "classes")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     keys = got.groupBy("doc_id", "text_hash").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    keys = scratch(keys.where("not stays or rows > 1").select(F.struct("doc_id", "text_hash", "stays").alias("listed copy")), "copies")
+    keys = scratch(keys.where("not stays or rows > 1").select(F.struct("doc_id", "text_hash", "stays").alias(listed)), "copies")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    match = docs["doc_id"].eqNullSafe(F.col("listed copy.doc_id")) & (key == F.col("listed copy.text_hash"))
-    if keys.where("`listed copy`.stays").isEmpty():
+    match = docs["doc_id"].eqNullSafe(F.col(f"`{listed}`.doc_id")) & (key == F.col(f"`{listed}`.text_hash"))
+    if keys.where(F.col(f"`{listed}`.stays")).isEmpty():
         return docs.join(keys, match, "left_anti")
-    once = docs.join(keys.where("`listed copy`.stays"), match).select(*(docs[c] for c in names)).withColumn("copy key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(keys, match, "left_anti").unionByName(once.dropDuplicates(["doc_id", "copy key"]).drop("copy key"))
+    once = docs.join(keys.where(F.col(f"`{listed}`.stays")), match).select(*(docs[f"`{c}`"] for c in names)).withColumn(copy_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.join(keys, match, "left_anti").unionByName(once.dropDuplicates(["doc_id", copy_key]).drop(copy_key))
