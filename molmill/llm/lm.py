@@ -135,25 +135,24 @@ def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             tails, times, ends = [], [], [0]
             for x in b.column(3):
                 words = spaced_words(x.as_py())
-                seen = Counter(words)
-                kinds = list(seen)
-                k = np.fromiter(seen.values(), dtype=np.int64, count=len(kinds))
-                at = np.fromiter(map(get, kinds, repeat(-1)), dtype=np.int64, count=len(kinds))
-                inside = at >= 0
-                own = np.zeros(len(kinds), dtype=np.int64)
-                own[inside] = v.code[at[inside]]
-                rest = np.flatnonzero(~inside)
-                own[rest] = [beyond + tail_class(kinds[i]) for i in rest.tolist()]
                 n = len(words) + 1
+                at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=n - 1)
+                unknown = np.flatnonzero(at < 0).tolist()
+                places = at[at >= 0] if unknown else at
+                code = v.code[at]
+                rest = Counter(words[i] for i in unknown)
+                classes = {w: tail_class(w) for w in rest}
+                code[unknown] = [beyond + classes[words[i]] for i in unknown]
+                k = np.fromiter(rest.values(), dtype=np.int32, count=len(rest))
                 n_tokens.append(n)
-                known.append(int(k[inside].sum()) + (end >= 0))
-                base.append(float(k[inside] @ v.log_count[at[inside]]) + (float(v.log_count[end]) if end >= 0 else float(np.log10(0.5))) - n * float(v.log_base))
-                share.append(float(k[inside] @ v.log_share[at[inside]]) - float(k[rest] @ v.log_class[own[rest] - beyond]))
-                codes.append(np.fromiter(map(dict(zip(kinds, own.tolist(), strict=True)).__getitem__, words), dtype="<u2", count=n - 1).tobytes() + b"\0\0")
-                tails.extend(kinds[i] for i in rest.tolist())
-                times.append(k[rest])
+                known.append(len(places) + (end >= 0))
+                base.append(float(v.log_count[places].sum()) + (float(v.log_count[end]) if end >= 0 else float(np.log10(0.5))) - n * float(v.log_base))
+                share.append(float(v.log_share[places].sum()) - float(k @ v.log_class[list(classes.values())]) if rest else float(v.log_share[places].sum()))
+                codes.append(code.astype("<u2").tobytes() + b"\0\0")
+                tails.extend(rest)
+                times.append(k)
                 ends.append(ends[-1] + len(rest))
-            tail = pa.StructArray.from_arrays([pa.array(tails, type=pa.binary()), pa.array(np.concatenate(times).astype(np.int32) if times else [], type=pa.int32())], fields=list(tail_type))
+            tail = pa.StructArray.from_arrays([pa.array(tails, type=pa.binary()), pa.array(np.concatenate(times) if times else [], type=pa.int32())], fields=list(tail_type))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), *(pa.array(c, type=t) for c, t in ((n_tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()), (share, pa.float64()), (codes, pa.binary()))), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), tail)],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "codes", "tail"],
@@ -265,7 +264,8 @@ def _picked(q: np.ndarray, target: np.ndarray, bias: np.ndarray, which: np.ndarr
     scores += bias
     scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(q)), which].astype(np.float64)
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+    total = np.exp(scores, out=scores) @ np.ones(len(target), dtype=scores.dtype)
+    return own - np.log(total.astype(np.float64))
 
 
 class Adagrad:
