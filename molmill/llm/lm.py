@@ -139,7 +139,8 @@ def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=n - 1)
                 unknown = np.flatnonzero(at < 0).tolist()
                 places = at[at >= 0] if unknown else at
-                code = v.code[at]
+                code = np.empty(n - 1, dtype=np.int64)
+                code[at >= 0] = v.code[places]
                 rest = Counter(words[i] for i in unknown)
                 classes = {w: tail_class(w) for w in rest}
                 code[unknown] = [beyond + classes[words[i]] for i in unknown]
