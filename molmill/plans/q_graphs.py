@@ -53,6 +53,22 @@ def l4_circular_fingerprints(spark, d):
     return L.circular_fingerprint(view(spark, d, "v_atoms"), view(spark, d, "v_bonds"))
 
 
+def circular(spark, d, n_bits=2048):
+    """Circular fingerprints as words; the molecules of a complex are a group, so groups do not grow with the table."""
+    f = L.circular_fingerprint(view(spark, d, "v_atoms"), view(spark, d, "v_bonds"), n_bits=n_bits)
+    return f.select("mol_id", F.floor(F.col("mol_id") / 970).alias("grp"), L.words_of(F.col("on_bits"), n_bits).alias("words"))
+
+
+@query()
+def l2_circular_neighbours(spark, d):
+    return rounded(L.neighbours(circular(spark, d), 0.5), "similarity")
+
+
+@query()
+def l3_circular_clusters(spark, d):
+    return L.butina(circular(spark, d), 0.5)
+
+
 @query()
 def df3_diverse_selection(spark, d):
     """The best five per group, the best of each cluster first."""

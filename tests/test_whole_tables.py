@@ -201,6 +201,32 @@ def test_l3_butina_clusters(spark):
     assert {r.mol_id: r.cluster for r in got(spark, "l3_butina_clusters")} == want
 
 
+def test_circular_neighbours_and_clusters(spark):
+    bits, by_group = {}, defaultdict(list)
+    for r in got(spark, "l4_circular_fingerprints"):
+        bits[r.mol_id] = sum(1 << b for b in r.on_bits)
+        by_group[r.mol_id // 970].append(r.mol_id)
+    likeness = lambda a, b: (bits[a] & bits[b]).bit_count() / (bits[a] | bits[b]).bit_count()
+    pairs, want = {}, {}
+    for ids in by_group.values():
+        near = {a: set() for a in ids}
+        for a, b in combinations(sorted(ids), 2):
+            t = likeness(a, b)
+            if t >= 0.5 - 1e-12:
+                pairs[a, b] = floor(t * 1e6 + 0.5) / 1e6
+                near[a].add(b)
+                near[b].add(a)
+        left, number = set(ids), 0
+        while left:
+            leader = max(left, key=lambda a: (len(near[a] & left), a))
+            members = {leader} | (near[leader] & left)
+            want.update(dict.fromkeys(members, number))
+            left -= members
+            number += 1
+    assert pairs and {(r.a, r.b): r.similarity for r in got(spark, "l2_circular_neighbours")} == pairs
+    assert {r.mol_id: r.cluster for r in got(spark, "l3_circular_clusters")} == want
+
+
 def test_df3_diverse_selection_takes_every_clusters_best_first(spark):
     cluster = {r.mol_id: r.cluster for r in got(spark, "l3_butina_clusters")}
     picked = defaultdict(list)
