@@ -34,10 +34,10 @@ from .common import remainder, scratch, spaced_words, summed
 END = b"\n"  # no word holds white space
 SINGLES, GROUPS, CLASSES = 48, 48, 64  # the end is among the singles
 SYMBOLS = SINGLES + GROUPS + CLASSES
-WIDTH = 32
-NOISE, WORD_NOISE = 32, 3  # noise symbols a block of tokens, noise words a token
+WIDTH = 16
+NOISE, WORD_NOISE = 24, 2  # noise symbols a block of tokens, noise words a token
 HEAD_WORDS = 100_000
-OWN_WORDS, LEAST_COUNT = 8_192, 50
+OWN_WORDS, LEAST_COUNT = 4_096, 50
 SHARD_TOKENS = 4_000_000
 STEP, SCORED = 1024, 512  # tokens a step trains on, and tokens whose scores of all symbols are held at once
 _FLUSH = 200_000
@@ -218,7 +218,8 @@ class Model:
     def gradient(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, words: np.ndarray, objective: bool = False) -> tuple[float | None, dict]:
         """The noise-contrastive objective of tokens after contexts, if asked for, and its gradient: rows and their values for tables, arrays for the matrices."""
         p = self.part
-        q = self.vectors(near, far)
+        one, two = p["context"][near], p["context"][far]
+        q = one @ p["near"] + two @ p["far"]
         s = self.symbol[token]
         own = p["target"][s]
         true = np.einsum("bd,bd->b", q, own) + p["bias"][s] - self.log_noise[s]
@@ -235,7 +236,7 @@ class Model:
         word_rows = np.concatenate([w, words.ravel()])
         value = sum(float(_log_sigmoid(x.astype(np.float64)).sum()) for x in (true, -fake, true2, -fake2)) if objective else None
         return value, {
-            "near": p["context"][near].T @ dq, "far": p["context"][far].T @ dq,
+            "near": one.T @ dq, "far": two.T @ dq,
             "context": (np.concatenate([near, far]), np.concatenate([dq @ p["near"].T, dq @ p["far"].T])),
             "target": (np.concatenate([s, noise]), np.concatenate([up[:, None] * q, down.T @ q])), "bias": (np.concatenate([s, noise]), np.concatenate([up, down.sum(axis=0)])),
             "word": (word_rows, np.concatenate([up2[:, None] * q2, (down2[:, :, None] * q2[:, None, :]).reshape(-1, WIDTH)])), "word_bias": (word_rows, np.concatenate([up2, down2.ravel()])),
@@ -287,8 +288,9 @@ class Adagrad:
                 rows = rows[by]
                 start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
                 rows, g = rows[start].astype(np.intp), np.add.reduceat(values[by], start, axis=0)
-                total[rows] += g * g
-                p[rows] += self.rate * g / np.sqrt(total[rows])
+                now = total[rows] + g * g
+                total[rows] = now
+                p[rows] += self.rate * g / np.sqrt(now)
             else:
                 total += g * g
                 p += self.rate * g / np.sqrt(total)

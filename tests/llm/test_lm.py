@@ -101,12 +101,12 @@ def test_partitions_do_not_change_scores(spark):
 def test_more_words_with_vectors_score_better(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     gain = {}
-    for own in (192, 8_192):
+    for own in (192, 4_096):
         out = lm_scores(d, own_words=own, least_count=10).where("held_out").toPandas()
         gain[own] = (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum()
     v = [Vocabulary(word_counts(d), own_words=own, least_count=10).coverage for own in gain]
     print("gain in log10 per token", gain, "coverage", v)
-    assert gain[8_192] > gain[192] and v[1] > v[0]
+    assert gain[4_096] > gain[192] and v[1] > v[0]
 
 
 def test_empty_table_and_all_held_out(spark):
