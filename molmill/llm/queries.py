@@ -7,6 +7,7 @@ from .bm25 import top_documents
 from .chat import preference_pairs
 from .common import table
 from .decontam import contamination
+from .divergence import divergence_audit
 from .license import license_scan
 from .lm import lm_scores
 from .mix import mix_sizes
@@ -66,10 +67,14 @@ def op10_bm25_wand(spark, sf_dir):
     return top_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).drop("query_row")
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
-        op10_bm25_wand,
+        op10_bm25_wand, op11_source_divergence,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -127,6 +132,32 @@ t AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS df FROM o GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n_lang FROM c GROUP BY ALL HAVING sum(df) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS lang_total FROM k GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(any_value(v), 0)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT c.* FROM c JOIN k USING (lang, term)) USING (lang, source) LEFT JOIN l USING (lang) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n_lang + 1) // (l.lang_total + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200
 """,
     "op2_preference_pairs": r"""
 WITH l AS (
