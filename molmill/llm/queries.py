@@ -11,6 +11,7 @@ from .divergence import divergence_audit
 from .license import license_scan
 from .lm import lm_scores
 from .mix import mix_sizes
+from .pii import pii_digest
 from .quality import quality_scores
 from .shard import shard_documents
 from .simhash import simhash_documents
@@ -71,10 +72,14 @@ def op11_source_divergence(spark, sf_dir):
     return divergence_audit(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
-        op10_bm25_wand, op11_source_divergence,
+        op10_bm25_wand, op11_source_divergence, op12_personal_data,
     )
 } | {"pipeline": corpus_pipeline.run}
 
