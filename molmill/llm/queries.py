@@ -3,6 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from .align import alignment_digest
 from .bm25 import top_documents
 from .chat import preference_pairs
 from .common import table
@@ -76,10 +77,15 @@ def op12_personal_data(spark, sf_dir):
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_align_tokenizers(spark, sf_dir):
+    return alignment_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_preference_pairs, op3_lm_scores, op4_winnow_benchmark, op5_license_index, op6_simhash_tiles, op7_quality_nbsvm, op8_feistel_shards, op9_token_histogram,
         op10_bm25_wand, op11_source_divergence, op12_personal_data,
+        op13_align_tokenizers,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -19,7 +19,7 @@ from .common import scratch
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024  # lengths whose suffix sums one task adds up
-LONG_SPACE = 100_000
+LONG_SPACE = 1_000
 # The characters of Unicode's White_Space, which is what the tokenizers' patterns mean by it.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -30,17 +30,24 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def token_count(encoding, text: str, long_space: int = LONG_SPACE) -> int:
-    """Tokens of the text. A run of white space too long for the encoder's pattern is taken out as the piece that the pattern makes of it.
+def encode_whole(encoding, text: str, long_space: int = LONG_SPACE) -> list[int]:
+    """Ids of the whole text. A run of white space too long for the encoder's pattern is taken out as the piece that the pattern makes of it.
 
-    That is all of the run, or all but its last character if a word follows.
+    That is all of the run, or all but its last character if a word follows. Runs are
+    tried from their first character only, so that many of nearly that length cost no more.
     """
-    n, at = 0, 0
-    for run in re.finditer(f"[{_SPACES}]{{{long_space},}}", text) if len(text) >= long_space else ():
+    out, at = [], 0
+    for run in re.finditer(f"[{_SPACES}](?<![{_SPACES}][{_SPACES}])[{_SPACES}]{{{long_space - 1},}}", text) if len(text) >= long_space else ():
         end = run.end() - (run.end() < len(text))
-        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
         at = end
-    return n + len(encoding.encode_ordinary(text[at:]))
+    rest = encoding.encode_ordinary(text[at:])
+    return out + rest if out else rest
+
+
+def token_count(encoding, text: str, long_space: int = LONG_SPACE) -> int:
+    return len(encode_whole(encoding, text, long_space))
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:

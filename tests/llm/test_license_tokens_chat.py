@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from molmill.llm.chat import preference_pairs
 from molmill.llm.license import NOTICES, PHRASES, Index, license_scan, word_idf
-from molmill.llm.tokens import encoded_lengths, length_histogram, length_quantile, token_count, token_histogram, truncated_totals
+from molmill.llm.tokens import encode_whole, encoded_lengths, length_histogram, length_quantile, token_count, token_histogram, truncated_totals
 
 
 def letter_words(text):
@@ -109,7 +109,7 @@ def test_token_histogram(spark):
     assert empty.count() == 0 and length_quantile(empty, 0.5) is None
 
 
-def test_long_white_space(spark):
+def own_encoding():
     import base64
 
     import public_tokenizers
@@ -117,7 +117,11 @@ def test_long_white_space(spark):
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_long_white_space(spark):
+    encoding = own_encoding()
     r = random.Random(8)
     for _ in range(2000):
         text = "".join(r.choice(["a", "é", "'s", "7", "!", *" \n\t\u2003\x1f\xa0" * 3]) for _ in range(r.randrange(40)))
@@ -156,3 +160,16 @@ def test_preference_pairs(spark):
     have = [(x.pair_id, x.n_prefix, x.prompt, x.chosen, None if x.chosen is None else [tuple(s) for s in x.chosen_spans], x.rejected, None if x.rejected is None else [tuple(s) for s in x.rejected_spans]) for x in got.collect()]
     assert sorted(have) == sorted(plain_pairs(turns))
     assert preference_pairs(table.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+
+
+def test_runs_of_white_space_just_below_any_length_take_little_time():
+    """Text of 10 MB in runs of white space, and the counts of the encoder's own pattern on shorter ones."""
+    encoding = own_encoding()
+    for n in (998, 999, 1000, 1001, 2500):
+        for text in (f"a{' ' * n}b", f"{' ' * n}", f"x{chr(10) * n}", f"{' ' * n}{chr(10)}y {chr(0x3000) * n}z"):
+            assert encode_whole(encoding, text) == encoding.encode_ordinary(text)
+    for run in (99_999, 999, 600):
+        text = ("x" + " " * run) * (10_000_000 // run)
+        began = time.perf_counter()
+        assert token_count(encoding, text) > 9_000_000
+        assert time.perf_counter() - began < 30
