@@ -6,6 +6,7 @@ from ..operators import filters as O
 from ..operators import graphs as G
 from ..operators import similarity as L
 from ..operators import scores
+from ..operators.circular import circular_fingerprints, molecule_rows
 from . import jobs
 from .registry import VIEWS, query, rounded, view
 
@@ -50,13 +51,13 @@ def l3_butina_clusters(spark, d):
 
 @query()
 def l4_circular_fingerprints(spark, d):
-    return L.circular_fingerprint(view(spark, d, "v_atoms"), view(spark, d, "v_bonds"))
+    return circular_fingerprints(molecule_rows(view(spark, d, "v_atoms"), view(spark, d, "v_bonds"))).drop("words")
 
 
 def circular(spark, d, n_bits=2048):
     """Circular fingerprints as words; the molecules of a complex are a group, so groups do not grow with the table."""
-    f = L.circular_fingerprint(view(spark, d, "v_atoms"), view(spark, d, "v_bonds"), n_bits=n_bits)
-    return f.select("mol_id", F.floor(F.col("mol_id") / 970).alias("grp"), L.words_of(F.col("on_bits"), n_bits).alias("words"))
+    f = circular_fingerprints(molecule_rows(view(spark, d, "v_atoms"), view(spark, d, "v_bonds")), n_bits=n_bits)
+    return f.select("mol_id", F.floor(F.col("mol_id") / 970).alias("grp"), "words")
 
 
 @query()

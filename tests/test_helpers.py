@@ -271,16 +271,6 @@ def test_shape_ratios_of_a_rod_a_disc_and_a_ball(spark):
     assert got[0] == pytest.approx((0, 1)) and got[1] == pytest.approx((0.5, 0.5)) and got[2] == pytest.approx((1, 1)) and got[3] == (None, None)
 
 
-def test_circular_fingerprints_do_not_depend_on_numbering(spark):
-    atoms, bonds = made(spark, 10, 9)
-    one = {r.mol_id: r.on_bits for r in L.circular_fingerprint(atoms, bonds, n_bits=1024).collect()}
-    turned = atoms.withColumn("atom_idx", 100 - F.col("atom_idx"))
-    two = {r.mol_id: r.on_bits for r in L.circular_fingerprint(turned, bonds.withColumns({"i": 100 - F.col("i"), "j": 100 - F.col("j")}), n_bits=1024).collect()}
-    assert one == two and all(0 <= b < 1024 for v in one.values() for b in v)
-    words = spark.createDataFrame([([0, 63, 64, 130],)], "b array<int>").select(L.words_of(F.col("b"), 192)).head()[0]
-    assert [w & (2**64 - 1) for w in words] == [1 | 1 << 63, 1, 4]
-
-
 def test_ring_systems_and_loops():
     fused = [[0, 1, 2, 3], [2, 3, 4, 5], [8, 9, 10]]
     assert graphs.systems(fused, 1) == [[0, 1], [2]] == graphs.systems(fused, 2)
