@@ -136,21 +136,6 @@ def preset(name: str, **changes) -> MolFilter:
     return replace(PRESETS[name], **changes)
 
 
-def pattern_hits(rows: DataFrame, catalog: DataFrame, key: str, text: str, limit: int = 100_000) -> DataFrame:
-    """key and the first pattern of catalog(ord, reg_id, pattern), in its order, that text contains.
-
-    Of equal patterns only the first can hit first. A catalog of at most limit different
-    patterns is sent to every task; a larger one is dealt in blocks.
-    """
-    found, catalog = None, catalog.groupBy("pattern").agg(F.min("ord").alias("ord"), F.min_by("reg_id", "ord").alias("reg_id"))
-    blocks = -(-catalog.count() // limit) or 1
-    for b in range(blocks):
-        part = catalog if blocks == 1 else catalog.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
-        hit = rows.join(F.broadcast(part), F.contains(F.col(text), F.col("pattern"))).select(key, "ord", "reg_id")
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy(key).agg(F.min_by("reg_id", "ord").alias("reg_id"))
-
-
 def without_hits(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     return rows.join(hits.select(key).distinct(), key, "left_anti")
 
