@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import scratch
+from .quantiles import exact_quantiles
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the index in a partition in its low 33 bits
 
@@ -42,13 +43,16 @@ def listed(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(names.select(key).distinct(), key, "left_semi")
 
 
-def quantiles(scores: DataFrame, q: float, value: str = "affinity", by: str = "pdb_id", exact: bool = True) -> DataFrame:
+def quantiles(scores: DataFrame, q: float, value: str = "affinity", by: str = "pdb_id", exact: bool = True, at_once: int = 100_000) -> DataFrame:
     """Per target the q-quantile, interpolated, of its rows of the model 'initial'; NaN counts as missing.
 
-    exact holds a target's distinct values in one task; otherwise a sketch of bounded size, off by 1 / 10,000 of the rank.
+    exact: targets of more than at_once rows by counting, so that no task holds a target's
+    values; otherwise a sketch of bounded size, off by 1 / 10,000 of the rank.
     """
-    v = F.when(~F.isnan(value), F.col(value))
-    return scores.where("model = 'initial'").groupBy(by).agg((F.percentile(v, q) if exact else F.percentile_approx(v, q, 10_000)).alias("threshold"))
+    initial = scores.where("model = 'initial'")
+    if exact:
+        return exact_quantiles(initial, [q], value, by, at_once).select(by, F.col("quantiles")[0].alias("threshold"))
+    return initial.groupBy(by).agg(F.percentile_approx(F.when(~F.isnan(value), F.col(value)), q, 10_000).alias("threshold"))
 
 
 def better_than_threshold(scores: DataFrame, thresholds: DataFrame, value: str = "affinity", by: str = "pdb_id") -> DataFrame:

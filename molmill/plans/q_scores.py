@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import scores as S
+from ..operators.quantiles import exact_quantiles
 from . import jobs
 from .registry import query, rounded, view
 
@@ -68,7 +69,17 @@ def j9_threshold_join(spark, d):
 
 @query("SELECT pdb_id, R6[[quantile_cont(affinity, 0.25)]] AS threshold FROM v_scores WHERE model = 'initial' GROUP BY pdb_id")
 def a9_quantiles(spark, d):
-    return rounded(S.quantiles(view(spark, d, "v_scores"), 0.25), "threshold")
+    return rounded(S.quantiles(view(spark, d, "v_scores"), 0.25, at_once=0), "threshold")
+
+
+@query("""
+SELECT source, R6[[quantile_cont(x, 0.0)]] AS least, R6[[quantile_cont(x, 0.1)]] AS tenth, R6[[quantile_cont(x, 0.5)]] AS middle, R6[[quantile_cont(x, 0.999)]] AS far, R6[[quantile_cont(x, 1.0)]] AS most
+FROM (SELECT source, (n_chars % 5000) / 7.0::DOUBLE - 300 AS x FROM documents) t GROUP BY source""")
+def a9_quantiles_of_sources(spark, d):
+    """Several quantiles at once, of groups of which one may hold a third of all rows."""
+    rows = view(spark, d, "documents").select("source", (F.col("n_chars") % 5000 / 7.0 - 300).alias("x"))
+    got = exact_quantiles(rows, [0, 0.1, 0.5, 0.999, 1], "x", "source", at_once=0)
+    return rounded(got.select("source", *(F.col("quantiles")[i].alias(c) for i, c in enumerate(("least", "tenth", "middle", "far", "most")))), "least", "tenth", "middle", "far", "most")
 
 
 @query("SELECT mol_idx, 3 AS optnum FROM v_scores WHERE model = 'run_opt3'")
