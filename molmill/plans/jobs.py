@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import distance
 from ..functions.vocab import WEIGHT, literal_map
 from ..operators import sampling, scores
+from ..operators.bricks import bricks, half_voxels, voxels
 from ..operators.filters import MolFilter, drop_hydrogens, within_radius
 from ..operators.geometry import pocket
 from ..operators.similarity import butina
-from ..operators.voxels import channelled, density, gaussian_kernel, half_resolution, in_voxels, soft_encoded
+from ..operators.voxels import channelled, gaussian_kernel, in_voxels
 from ..sources import parse as P
+from ..storage import scratch
 
 
 def molecule_rows(blocks: DataFrame) -> DataFrame:
@@ -73,8 +75,8 @@ def complexes(ligand: DataFrame, receptor: DataFrame, radius: float, key: str =
 
 
 def complex_voxels(atoms: DataFrame, channels: DataFrame, size: float = 24.0, resolution: float = 0.5) -> dict[str, DataFrame]:
-    """Soft encoding of atoms(mol_id, atom_idx, x, y, z, types) about 0, its density, and that at half resolution."""
+    """Soft encoding of atoms(mol_id, atom_idx, x, y, z, types) about 0, its density, and that at half resolution; the density's bricks are written once."""
     side = int(size / resolution)
-    grid = soft_encoded(channelled(in_voxels(atoms, size=size, resolution=resolution), channels), side)
-    blurred = density(grid, gaussian_kernel(resolution=resolution), side)
-    return {"grid": grid, "density": blurred, "half": half_resolution(blurred)}
+    points = channelled(in_voxels(atoms, size=size, resolution=resolution), channels)
+    blurred = scratch(bricks(points, side, kernel=gaussian_kernel(resolution=resolution)), "bricks")
+    return {"grid": voxels(bricks(points, side)), "density": voxels(blurred), "half": half_voxels(blurred)}

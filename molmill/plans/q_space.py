@@ -8,6 +8,7 @@ from ..functions import expr as E
 from ..functions.vocab import CHANNELS, RADIUS, VALENCE, channel_table, type_vocab
 from ..operators import geometry as G
 from ..operators import graphs, stats
+from ..operators import bricks as B
 from ..operators import voxels as V
 from .registry import VIEWS, query, rounded, view
 
@@ -243,13 +244,9 @@ def grid(spark, d):
     return V.soft_encoded(points(spark, d), SIDE)
 
 
-def blurred(spark, d):
-    return V.density(grid(spark, d), KERNEL, SIDE)
-
-
 @query(f"WITH {_ENC} SELECT mol_id, channel, ix, iy, iz, R6[[v]] AS v FROM vox")
 def v1_soft_encoded(spark, d):
-    return rounded(grid(spark, d), "v")
+    return rounded(B.voxels(B.bricks(points(spark, d), SIDE)), "v")
 
 
 @query("SELECT mol_id, channel, CAST(round_even(x, 0) AS INT) AS ix, CAST(round_even(y, 0) AS INT) AS iy, CAST(round_even(z, 0) AS INT) AS iz, CAST(count(*) AS DOUBLE) AS v FROM v_points WHERE x < 11 AND y < 11 AND z < 11 GROUP BY ALL")
@@ -265,13 +262,13 @@ _DEN = f"{_ENC}, {_K}, den AS (SELECT mol_id, channel, ix + ox AS ix, iy + oy AS
 @query(f"WITH {_DEN} SELECT mol_id, channel, count(*) AS n, round(sum(v), 4) AS total, round(max(v), 5) AS most, round(sum(v * (ix + 13 * iy + 169 * iz)), 2) AS place FROM den GROUP BY ALL")
 def v3_density(spark, d):
     place = F.col("v") * (F.col("ix") + 13 * F.col("iy") + 169 * F.col("iz"))
-    each = blurred(spark, d).groupBy("mol_id", "channel")
+    each = B.voxels(B.bricks(points(spark, d), SIDE, kernel=KERNEL)).groupBy("mol_id", "channel")
     return each.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max("v"), 5).alias("most"), F.round(F.sum(place), 2).alias("place"))
 
 
 @query(f"WITH {_ENC} SELECT mol_id, channel, ix // 2 AS ix, iy // 2 AS iy, iz // 2 AS iz, R6[[sum(v) / 8]] AS v FROM vox GROUP BY ALL")
 def v4_half_resolution(spark, d):
-    return rounded(V.half_resolution(grid(spark, d)), "v")
+    return rounded(B.half_voxels(B.bricks(points(spark, d), SIDE)), "v")
 
 
 @query(f"WITH {_ENC} SELECT mol_id, ix, iy, iz, R6[[sum(v)]] AS v FROM vox WHERE channel IN (0, 1, 2) GROUP BY ALL")
