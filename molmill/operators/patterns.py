@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import scratch
+
 BLOCK_BYTES = 60_000  # of patterns in an automaton, whose table then has 62 MB at most
 PIECE, TOGETHER = 512, 16_384
+STEPS = 16  # blocks of a catalog that look at the rows before these are written
 NONE = np.iinfo(np.int32).max
 
 
@@ -82,7 +85,8 @@ def catalog_blocks(catalog: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterat
     """(patterns, ord, reg_id) of catalog(ord, reg_id, pattern) by ord, then reg_id, then pattern, a block of about block_bytes at a time on the driver."""
     held: tuple[list, list, list] = ([], [], [])
     size = 0
-    for ord_, reg_id, pattern in catalog.where("pattern is not null and ord is not null").select("ord", "reg_id", "pattern").orderBy("ord", "reg_id", "pattern").toLocalIterator():
+    first = catalog.where("pattern is not null and ord is not null").groupBy("pattern").agg(F.min(F.struct("ord", "reg_id")).alias("first"))  # of equal patterns only the first can hit first
+    for ord_, reg_id, pattern in first.select("first.ord", "first.reg_id", "pattern").orderBy("ord", "reg_id", "pattern").toLocalIterator():
         pattern = pattern.encode()
         if held[0] and size + len(pattern) > block_bytes:
             yield held
@@ -99,7 +103,7 @@ def with_first_hit(rows: DataFrame, catalog: DataFrame, text: str, hit_ord: str
 
     There is no join and no exchange of rows. A catalog goes through the driver in blocks, each of which is sent to the
     tasks as one automaton; since blocks come in order, a later one looks only at rows without a
-    hit. Null texts, and patterns that are null or have a null ord, hit nothing; an empty pattern is in every text.
+    hit. After every STEPS blocks the rows are written, so that no plan grows with the catalog. Null texts, and patterns that are null or have a null ord, hit nothing; an empty pattern is in every text.
     """
     kinds = {f.name: f.dataType for f in catalog.schema}
     schema = T.StructType([*rows.schema.fields, T.StructField(hit_ord, kinds["ord"]), T.StructField(hit_id, kinds["reg_id"])])
@@ -127,8 +131,10 @@ def with_first_hit(rows: DataFrame, catalog: DataFrame, text: str, hit_ord: str
 
         return run
 
-    for patterns, ords, ids in catalog_blocks(catalog, block_bytes):
+    for n, (patterns, ords, ids) in enumerate(catalog_blocks(catalog, block_bytes), 1):
         out = out.mapInArrow(step(sent((Automaton(patterns), ords, ids))), schema)
+        if n % STEPS == 0:
+            out = scratch(out, "hits")
     return out
 
 

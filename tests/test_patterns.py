@@ -31,7 +31,7 @@ def test_first_hits_against_plain_search():
         assert scan(Automaton([b"0123456789"]), ["." * at + "0123456789" + "." * 600]) == [0]
 
 
-def test_screen_in_blocks(spark):
+def test_screen_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("CNO()=1") for _ in range(rng.randint(1, n)))
     catalog = [(k, f"r{k}", word(9)) for k in range(60)] + [(3, "r3b", "CC"), (70, "none", None), (None, "nowhere", "C"), (71, "r71", "é")]
@@ -40,6 +40,7 @@ def test_screen_in_blocks(spark):
     cat = spark.createDataFrame(catalog, "ord long, reg_id string, pattern string")
     order = sorted((o, r, p) for o, r, p in catalog if o is not None and p is not None)
     want = [(k, t, *next(((o, r) for o, r, p in order if t is not None and p in t), (None, None))) for k, t in texts]
+    monkeypatch.setattr("molmill.operators.patterns.STEPS", 2)
     for size in (80, 60_000):
         got = with_first_hit(frame, cat, "t", "o", "r", size)
         assert sorted(((x.k, x.t, x.o, x.r) for x in got.collect()), key=repr) == sorted(want, key=repr) and got.columns == [*frame.columns, "o", "r"]
