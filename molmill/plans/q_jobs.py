@@ -1,7 +1,5 @@
 """Queries of whole workloads, unions, extension points and incremental jobs."""
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..storage import fresh_dir
 from ..streaming import ingest as T
+from ..streaming.blocks import text_blocks
 from . import jobs
 from .q_sampling import EDGES, _bin
 from .q_text import _CELLS, blocks, cells, packed
@@ -221,24 +220,27 @@ def x5_grouped_apply(spark, d):
 
 @query("SELECT concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, count(*) FILTER (WHERE atomic_num <> 1) AS num_atoms FROM v_atoms GROUP BY mol_id HAVING count(*) FILTER (WHERE atomic_num <> 1) BETWEEN 4 AND 10")
 def t1_incremental_ingest(spark, d):
-    """Blocks are written as SDF files in two parts; each run takes up only files that the ones before it have not."""
+    """Blocks are written as SDF files in two parts; each run takes up only blocks that the ones before it have not, and the first stops in the middle of a file."""
     at = fresh_dir(spark)
     mols = blocks(spark, d).withColumnRenamed("mol_id", "mol_idx")
-    keep = lambda df: MolFilter(natoms_min=4, natoms_max=10).keep(jobs.molecule_rows(df)).select("name", "num_atoms")
-    for part in (0, 1):
-        W.write_sdf(mols.where(F.col("mol_idx") % 2 == part), f"{at}/in", append=True)
-        T.ingest(T.block_stream(spark, f"{at}/in"), keep, f"{at}/out", f"{at}/state").awaitTermination()
+    keep = lambda df: MolFilter(natoms_min=4, natoms_max=10).keep(jobs.molecule_rows(named(df))).select("name", "num_atoms")
+    named = lambda df: df.select(F.trim(F.get(P.lines(F.col("block")), 0)).alias("name"), "block")
+    stream = lambda most: T.ingest_blocks(text_blocks(spark, f"{at}/in", f"{at}/bookmark", ends=".txt", max_bytes=most, split_bytes=1 << 22), keep, f"{at}/out", f"{at}/state", once=most < 1 << 20)
+    W.write_sdf(mols.where(F.col("mol_idx") % 2 == 0), f"{at}/in", append=True)
+    stream(10_000).awaitTermination()
+    W.write_sdf(mols.where(F.col("mol_idx") % 2 == 1), f"{at}/in", append=True)
+    T.drain(stream(1 << 24))
     return spark.read.parquet(f"{at}/out").select("name", F.col("num_atoms").cast("long").alias("num_atoms"))
 
 
 @query("SELECT file, count(*) AS processed, count(*) FILTER (WHERE dock_success) AS valid, count(*) FILTER (WHERE dock_success AND affinity < -50) AS sampled FROM v_scores GROUP BY file")
 def t2_running_totals(spark, d):
-    at, name = fresh_dir(spark), f"totals_{uuid.uuid4().hex}"
+    at = fresh_dir(spark)
     rows = view(spark, d, "v_scores").select("file", "dock_success", "affinity")
     for part in (0, 1):
         rows.where(F.pmod(F.xxhash64("file", "affinity"), F.lit(2)) == part).write.mode("append").parquet(f"{at}/in")
-        T.running_totals(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{name}_{part}", f"{at}/state", "dock_success", "affinity < -50").awaitTermination()
-    return spark.table(f"{name}_1")
+        T.running_totals(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/state", "dock_success", "affinity < -50").awaitTermination()
+    return T.latest_totals(spark, f"{at}/out")
 
 
 _TAKEN = "SELECT pdb_id, mol_idx, affinity FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY affinity NULLS LAST, mol_idx) AS pick FROM {}) t WHERE pick <= 4"

@@ -23,19 +23,37 @@ def ingest(blocks: DataFrame, keep: Callable[[DataFrame], DataFrame], out: str,
     return keep(blocks).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
-def running_totals(rows: DataFrame, name: str, checkpoint: str, valid: str = "true", sampled: str = "true") -> StreamingQuery:
-    """Rows processed, valid and sampled so far by file, in the memory table name."""
-    totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.expr(valid)).alias("valid"), F.count_if(F.expr(f"({valid}) and ({sampled})")).alias("sampled"))
-    return totals.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("complete").start()
+def drain(stream: StreamingQuery) -> None:
+    """Run a started stream until nothing is left for it, then stop it."""
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+
+
+def ingest_blocks(blocks: DataFrame, keep: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """The same for a stream of text_blocks, which takes a step at a time: once stops after one, else it runs on and drain ends it."""
+    writer = keep(blocks).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
 
+def running_totals(rows: DataFrame, out: str, checkpoint: str, valid: str = "true", sampled: str = "true") -> StreamingQuery:
+    """Rows processed, valid and sampled so far by file. Each batch writes the totals that it changed under out/version=N; latest_totals reads them.
 
-def totals_table(rows: DataFrame, out: str, checkpoint: str, valid: str = "true") -> StreamingQuery:
-    """The same totals, each batch's changed files written under out/batch=N."""
-    totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.expr(valid)).alias("valid"))
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    Totals are kept in the stream's state, spread by file; none passes through the driver. A batch that is run again writes its version anew.
+    """
+    totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.expr(valid)).alias("valid"), F.count_if(F.expr(f"({valid}) and ({sampled})")).alias("sampled"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/version={n}")
     return totals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
 
 
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Each file's totals of the latest version that has them."""
+    rows = spark.read.parquet(out)
+    last = F.max_by(F.struct("processed", "valid", "sampled"), "version").alias("last")
+    return rows.groupBy("file").agg(last).select("file", "last.*")
+
+
 def generations(results: Callable[[int], DataFrame], select: Callable[[DataFrame, int], DataFrame], receptors: DataFrame, folder: str, n_cycles: int) -> list[str]:
     """Cycles up to n_cycles: each reads the results that the cycle before led to, selects, and writes the next inputs. What is there already is not done again.
 

@@ -239,13 +239,23 @@ def test_diverse_top_returns_what_there_is(spark):
     assert [(r.pdb_id, r.mol_idx) for r in got] == [("p", 0), ("p", 1), ("p", 2), ("p", 3), ("p", 4), ("q", 9)]
 
 
-def test_totals_table_stream(spark, tmp_path):
+def test_running_totals_go_on_after_a_stop(spark, tmp_path):
     rows = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "file string, ok boolean")
-    for _ in range(2):
-        rows.write.mode("append").parquet(str(tmp_path / "in"))
-        T.totals_table(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), "ok").awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out")).where("batch = 1")
-    assert sorted((r.file, r.processed, r.valid) for r in last.collect()) == [("a", 4, 2), ("b", 2, 2)]
+    one = spark.createDataFrame([("b", False), ("c", True)], "file string, ok boolean")
+    at = lambda name: str(tmp_path / name)
+    for part in (rows, one):
+        part.write.mode("append").parquet(at("in"))
+        T.running_totals(spark.readStream.schema(rows.schema).parquet(at("in")), at("out"), at("state"), "ok", "file <> 'a'").awaitTermination()
+    # The second version has only what it changed; nothing new makes no version.
+    T.running_totals(spark.readStream.schema(rows.schema).parquet(at("in")), at("out"), at("state"), "ok", "file <> 'a'").awaitTermination()
+    assert sorted((r.version, r.file) for r in spark.read.parquet(at("out")).collect()) == [(0, "a"), (0, "b"), (1, "b"), (1, "c")]
+    assert sorted(tuple(r) for r in T.latest_totals(spark, at("out")).collect()) == [("a", 2, 1, 0), ("b", 2, 1, 1), ("c", 1, 1, 1)]
+    # A batch whose end was not recorded is run again, and its version is written anew.
+    (tmp_path / "state" / "commits" / "1").unlink()
+    for crc in (tmp_path / "state" / "commits").glob(".1.crc"):
+        crc.unlink()
+    T.running_totals(spark.readStream.schema(rows.schema).parquet(at("in")), at("out"), at("state"), "ok", "file <> 'a'").awaitTermination()
+    assert sorted(tuple(r) for r in T.latest_totals(spark, at("out")).collect()) == [("a", 2, 1, 0), ("b", 2, 1, 1), ("c", 1, 1, 1)]
     assert T.last_generation(spark.createDataFrame([("x_opt3",), ("y",)], "model string")) == 3
 
 
