@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import angle, distance, lennard_jones, rotation, squared_distance, transformed, translated, uniform
 from ..functions.vocab import RADIUS, VALENCE, literal_map
+from ..storage import scratch
 
 XYZ = ("x", "y", "z")
 
@@ -143,12 +144,59 @@ def greedy_pairs(a: DataFrame, b: DataFrame, key: str = "mol_id", radius: float
     return _each(groups, pair, f"{key} long, i long, j long, d double")
 
 
-def nearest_point(candidates: DataFrame, points: DataFrame, key: str = "mol_id") -> DataFrame:
-    """Per candidate(key, idx) the nearest of the points(key, p) of its key, and how far it is; of equals the first."""
-    c = candidates.select(key, "idx", *(F.col(v).alias(f"c{v}") for v in XYZ))
-    d = c.join(points.select(key, "p", *XYZ), key).withColumn("d", distance(_at("c"), _at()))
-    best = d.groupBy(key, "idx").agg(F.min(F.struct("d", "p")).alias("b"))
-    return best.select(key, "idx", F.col("b.p").alias("p"), F.col("b.d").alias("d"))
+def _boxes(points: DataFrame, key: str, edge: float) -> DataFrame:
+    """key, cell_x, cell_y, cell_z and the least and greatest coordinates (lx, hx, ...) of the points in each cell that is not empty."""
+    sides = [f(c).alias(p + c) for c in XYZ for f, p in ((F.min, "l"), (F.max, "h"))]
+    return points.select(key, *XYZ, *_cell(edge)).groupBy(key, *_CELLS).agg(*sides)
+
+
+_CELLS = [f"cell_{c}" for c in XYZ]
+
+
+def _wider(boxes: DataFrame, key: str, level: int) -> DataFrame:
+    """Boxes of cells 2^level times as wide, with their own parents' numbers (up_x, ...)."""
+    at = [F.shiftright(c, level).alias(c) for c in _CELLS]
+    sides = [f(p + c).alias(p + c) for c in XYZ for f, p in ((F.min, "l"), (F.max, "h"))]
+    grouped = boxes.select(key, *at, *(p + c for c in XYZ for p in "lh")).groupBy(key, *_CELLS).agg(*sides) if level else boxes
+    return grouped.select("*", *(F.shiftright(c, 1).alias(f"up_{c[-1]}") for c in _CELLS))
+
+
+def nearest_point(candidates: DataFrame, points: DataFrame, key: str = "mol_id", radius: float = 2.0) -> DataFrame:
+    """Per candidate(key, idx) the nearest of the points(key, p) of its key, and how far it is; of equals the first.
+
+    Candidates with a point within radius are settled by a join of cells. The others go
+    down a tree of cells, each half as wide as the one above: of a candidate's open cells those stay whose nearest
+    corner is no further than the furthest of the best one's, so that in the end it meets
+    the points of a few cells only, however far they are and however many lie together. Candidates and points
+    without a coordinate, and keys without points, have no row.
+    """
+    whole = lambda rows, *c: rows.where(reduce(and_, (F.col(v).isNotNull() & ~F.isnan(v) for v in XYZ))).select(key, *c, *(F.col(v).cast("double").alias(v) for v in XYZ))
+    c, p = whole(candidates, "idx"), whole(points, "p")
+    best = lambda rows, of: rows.groupBy(key, "idx").agg(F.min(F.struct("d", of)).alias("b")).select(key, "idx", F.col(f"b.{of}").alias("p"), F.col("b.d").alias("d"))
+    near = scratch(best(near_pairs(c, p, key, radius), "r_p"), "near")
+    left = scratch(c.join(near.select(key, "idx"), [key, "idx"], "left_anti").join(p.select(key).distinct(), key, "left_semi"), "far")
+    if left.isEmpty():
+        return near
+    boxes = scratch(_boxes(p, key, radius), "boxes")
+    most = boxes.agg(*(F.max(F.abs(v)) for v in _CELLS)).head()
+    top = int(max(most)).bit_length()  # there every cell is 0 or -1 on each axis
+    low = reduce(lambda a, b: a + b, (F.greatest(F.lit(0.0), F.col(f"l{v}") - F.col(v), F.col(v) - F.col(f"h{v}")) ** 2 for v in XYZ))
+    high = reduce(lambda a, b: a + b, (F.greatest(F.abs(F.col(f"l{v}") - F.col(v)), F.abs(F.col(f"h{v}") - F.col(v))) ** 2 for v in XYZ))
+    open_ = None
+    for level in range(top, -1, -1):
+        cells = _wider(boxes, key, level)
+        if open_ is None:
+            met = left.join(cells, key)  # eight cells a key at most
+        else:
+            met = open_.withColumnsRenamed({v: f"up_{v[-1]}" for v in _CELLS}).join(cells, [key, *(f"up_{v}" for v in XYZ)])
+        met = met.select(key, "idx", *XYZ, *_CELLS, low.alias("low"), high.alias("high"))
+        reach = F.min("high").over(Window.partitionBy(key, "idx"))
+        open_ = met.withColumn("reach", reach).where(F.col("low") <= F.col("reach") * (1 + 1e-9) + 1e-12).select(key, "idx", *XYZ, *_CELLS)
+        if level % 4 == 0:
+            open_ = scratch(open_, "open")  # plans do not grow with the tree
+    r = p.select(key, "p", *(F.col(v).alias(f"r_{v}") for v in XYZ), *_cell(radius))
+    far = open_.join(r, [key, *_CELLS]).withColumn("d", distance(_at(), _at("r_")))
+    return near.unionByName(best(far, "p"))
 
 
 def squared_distances(a: DataFrame, b: DataFrame, key: str = "mol_id") -> DataFrame:

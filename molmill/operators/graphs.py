@@ -7,10 +7,14 @@ molecules. Graphs reach the helpers in Arrow batches, not one call a group.
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rings import blocks, core
+
 
 def _graphs(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """mol_id, atoms (sorted array), i and j of the bonds."""
@@ -81,23 +85,22 @@ def ring_counts(atoms: DataFrame, bonds: DataFrame, frags: DataFrame) -> DataFra
     return a.join(b, "mol_id", "left").join(c, "mol_id").select("mol_id", (F.coalesce("b", F.lit(0)) - F.col("a") + F.col("c")).alias("n_rings"))
 
 
-def ring_basis(atoms: list[int], i: list[int], j: list[int]) -> list[list[int]]:
-    """A smallest set of independent rings, as sorted lists of atoms, in order of size.
+def _block_rings(bonds: list[tuple[int, int]]) -> list[list[int]]:
+    """A smallest set of independent rings of one biconnected block, as sorted lists of atoms, in order of size.
 
     Candidates are, for each atom and bond, the shortest paths from the atom to the bond's
     ends, closed by it; they are taken from the shortest up as long as they are independent.
     """
-    bonds = sorted({(min(a, b), max(a, b)) for a, b in zip(i, j, strict=True) if a != b})
+    bonds = sorted(bonds)
     number = {b: k for k, b in enumerate(bonds)}
-    near = {a: [] for a in atoms}
+    near: dict[int, list[int]] = {}
     for a, b in bonds:
-        near[a].append(b)
-        near[b].append(a)
-    wanted = len(bonds) - len(atoms) + len(set(components(atoms, i, j).values()))
-    if not wanted:
-        return []
-    found = set()
-    for start in atoms:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    wanted, found = len(bonds) - len(near) + 1, set()
+    if wanted == 1:
+        return [sorted(near)]
+    for start in near:
         before, queue = {start: None}, deque([start])
         while queue:
             a = queue.popleft()
@@ -113,12 +116,11 @@ def ring_basis(atoms: list[int], i: list[int], j: list[int]) -> list[list[int]]:
             return out
 
         for a, b in bonds:
-            if a in before and b in before:
-                p, q = path(a), path(b)
-                if set(p) & set(q) == {start} and len(p) + len(q) > 3:
-                    ring = [*p, *reversed(q[:-1])]
-                    edges = frozenset(number[min(x, y), max(x, y)] for x, y in zip(ring, [*ring[1:], ring[0]], strict=True))
-                    found.add((len(edges), tuple(sorted(ring)), edges))
+            p, q = path(a), path(b)
+            if set(p) & set(q) == {start} and len(p) + len(q) > 3:
+                ring = [*p, *reversed(q[:-1])]
+                edges = frozenset(number[min(x, y), max(x, y)] for x, y in zip(ring, [*ring[1:], ring[0]], strict=True))
+                found.add((len(edges), tuple(sorted(ring)), edges))
     chosen, rows = [], {}
     for _, ring, edges in sorted(found, key=lambda f: (f[0], f[1], sorted(f[2]))):
         bits = sum(1 << e for e in edges)
@@ -132,9 +134,68 @@ def ring_basis(atoms: list[int], i: list[int], j: list[int]) -> list[list[int]]:
     return chosen
 
 
+def ring_blocks(mol: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
+    """(molecule, its blocks of bonds) of the bonds of many molecules; those without a ring are told by their bonds' numbers alone and left out.
+
+    Atoms with one bond are stripped again and again, which leaves the 2-core, and only that is searched.
+    """
+    if not len(mol):
+        return
+    names, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    low, high = (mol * len(names) + p for p in np.split(place, 2))
+    nodes, at = np.unique(np.concatenate([low, high]), return_inverse=True)
+    low, high = np.split(at, 2)
+    low, high = np.minimum(low, high), np.maximum(low, high)
+    once = np.unique((low * len(nodes) + high)[low != high])
+    low, high = once // len(nodes), once % len(nodes)
+    left = core(len(nodes), low, high)
+    low, high = low[left], high[left]
+    of = blocks(low, high)
+    of_mol, name = nodes // len(names), names[nodes % len(names)].tolist()
+    by_block: dict[int, list[tuple[int, int]]] = {}
+    for b, x, y in zip(of.tolist(), low.tolist(), high.tolist(), strict=True):
+        if b >= 0:
+            by_block.setdefault(b, []).append((x, y))
+    by_mol: dict[int, list] = {}
+    for found in by_block.values():
+        by_mol.setdefault(int(of_mol[found[0][0]]), []).append([(min(name[x], name[y]), max(name[x], name[y])) for x, y in found])
+    yield from sorted(by_mol.items())
+
+
+def _merged_rings(found: list[list[tuple[int, int]]]) -> list[list[int]]:
+    """Rings of all blocks of a molecule: the sets of different blocks are independent of each other."""
+    return sorted((r for block in found for r in _block_rings(block)), key=lambda r: (len(r), r))
+
+
+def ring_basis(atoms: list[int], i: list[int], j: list[int]) -> list[list[int]]:
+    """A smallest set of independent rings of one graph, as sorted lists of atoms, in order of size."""
+    pairs = np.array([i, j], dtype=np.int64).reshape(2, -1)
+    return [r for _, found in ring_blocks(np.zeros(pairs.shape[1], dtype=np.int64), *pairs) for r in _merged_rings(found)]
+
+
+def _ringed(graphs: DataFrame, solve: Callable, schema: str) -> DataFrame:
+    """Rows that solve makes of the rings of each molecule that has any. Molecules stay rows: there is no exchange."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, i, j = b.columns
+            mol = np.repeat(np.arange(b.num_rows), i.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            rows = [(m, *r) for m, found in ring_blocks(mol, i.flatten().to_numpy(zero_copy_only=False), j.flatten().to_numpy(zero_copy_only=False)) for r in solve(_merged_rings(found))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            kinds = [pa.int64(), *(_KINDS[c.split()[1]] for c in schema.split(", ")[1:])]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(arrays[0]).cast(pa.int64()), *arrays[1:]], names=names)
+
+    return graphs.select("mol_id", "i", "j").mapInArrow(run, schema)
+
+
+_KINDS = {"int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
+
 def rings(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """mol_id, ring, size, members of a smallest set of independent rings."""
-    return _solved(_graphs(atoms, bonds), lambda *g: [(k, len(r), r) for k, r in enumerate(ring_basis(*g))], "mol_id long, ring int, size int, members array<long>")
+    return _ringed(_graphs(atoms, bonds), lambda found: [(k, len(r), r) for k, r in enumerate(found)], "mol_id long, ring int, size int, members array<long>")
 
 
 def systems(found: list[list[int]], share: int) -> list[list[int]]:
@@ -150,8 +211,7 @@ def ring_systems(atoms: DataFrame, bonds: DataFrame, by_bond: bool = False) -> D
     loop: the system's rings close around a hole, so that there are more neighbouring pairs of them than a tree has.
     """
 
-    def solve(*graph):
-        found = ring_basis(*graph)
+    def solve(found):
         out = []
         for k, numbers in enumerate(systems(found, 2 if by_bond else 1)):
             pairs = sum(1 for a in numbers for b in numbers if a < b and set(found[a]) & set(found[b]))
@@ -159,7 +219,7 @@ def ring_systems(atoms: DataFrame, bonds: DataFrame, by_bond: bool = False) -> D
             out.append((k, len(numbers), sorted({a for r in numbers for a in found[r]}), pairs >= len(numbers) > 2 and not shared))
         return out
 
-    return _solved(_graphs(atoms, bonds), solve, "mol_id long, system int, n_rings int, members array<long>, loop boolean")
+    return _ringed(_graphs(atoms, bonds), solve, "mol_id long, system int, n_rings int, members array<long>, loop boolean")
 
 
 def ring_system_limits(found: DataFrame) -> DataFrame:

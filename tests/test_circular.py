@@ -183,3 +183,44 @@ def _joined(sets, a, b):
                 todo += [x for x in s - {at} if x not in seen]
                 seen |= s
     return b in seen
+
+
+def test_rings_by_blocks(spark):
+    """Rings of drawn graphs: as many as there are independent ones, each a loop, independent, and as short as any set can be."""
+    from molmill.operators.graphs import ring_basis, rings
+
+    rng = random.Random(11)
+    for _ in range(150):
+        n = rng.randint(2, 11)
+        bonds = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 15))})
+        got = ring_basis(list(range(n)), [b[0] for b in bonds], [b[1] for b in bonds])
+        number = {b: k for k, b in enumerate(bonds)}
+        loops = set()
+
+        def walk(path, bonds=bonds, loops=loops):
+            for a, b in bonds:
+                if path[-1] in (a, b):
+                    to = b if path[-1] == a else a
+                    if to == path[0] and len(path) > 2:
+                        loops.add(frozenset(tuple(sorted(x)) for x in zip(path, [*path[1:], path[0]], strict=True)))
+                    elif to > path[0] and to not in path:
+                        walk([*path, to])
+
+        for start in range(n):
+            walk([start])
+        sizes, rows = [], {}
+        for loop in sorted(loops, key=len):  # the shortest set: loops from the shortest up, as long as they are independent
+            bits = sum(1 << number[b] for b in loop)
+            while bits and bits.bit_length() in rows:
+                bits ^= rows[bits.bit_length()]
+            if bits:
+                rows[bits.bit_length()] = bits
+                sizes.append(len(loop))
+        assert [len(r) for r in got] == sizes
+        atom_sets = {frozenset(a for b in loop for a in b) for loop in loops}
+        assert all(frozenset(r) in atom_sets for r in got)
+    atoms = spark.createDataFrame([(m, a) for m in range(3) for a in range(6)], "mol_id long, atom_idx long")
+    bonds = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 5, 3), (1, 3, 4)], "mol_id long, i long, j long")
+    found = rings(atoms, bonds)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2  # those that make molecules rows
+    assert sorted((r.mol_id, r.ring, r.members) for r in found.collect()) == [(1, 0, [0, 1, 2]), (1, 1, [3, 4, 5])]
