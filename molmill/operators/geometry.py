@@ -120,28 +120,55 @@ def connected_fragments(atoms: DataFrame, bonds: DataFrame, frags: DataFrame, ra
     return _each(groups, join, "mol_id long, i long, j long, d double")
 
 
-def greedy_pairs(a: DataFrame, b: DataFrame, key: str = "mol_id", radius: float = 3.0) -> DataFrame:
-    """key, i, j, d: the closest points of a and b (key, idx, x, y, z), then the closest of the rest, up to radius; j null: not paired, and i for b's."""
-    near = near_pairs(a.select(key, "idx", *XYZ), b.select(key, "idx", *XYZ), key, radius)
-    near = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", F.col("idx").alias("i"), F.col("r_idx").alias("j")))).alias("near"))
-    ids = lambda rows, n: rows.groupBy(key).agg(F.sort_array(F.collect_list("idx")).alias(n))
-    groups = ids(a, "is").join(ids(b, "js"), key, "full").join(near, key, "left").select(key, "is", "js", "near")
-
-    def pair(k, i_all, j_all, found):
+def _sizes(pairs: DataFrame, key: str, at_once: int) -> tuple[DataFrame, DataFrame | None]:
+    """pairs of keys with at most at_once of them, and the others; None without any."""
+    large = scratch(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).select(key), "large")
+    return (pairs, None) if large.isEmpty() else (pairs.join(large, key, "left_anti"), scratch(pairs.join(large, key, "left_semi"), "pairs"))
+
+
+def _matched(near: DataFrame, key: str) -> DataFrame:
+    """key, i, j, d: what pairing the closest of near(key, i, j, d) again and again gives, in rounds.
+
+    A round takes all pairs that are the closest both of their i and of their j: nothing
+    that is taken earlier in the sequence could be in their way.
+    """
+    found, order = [], F.struct("d", "i", "j")
+    while not near.isEmpty():
+        least = {c: near.groupBy(key, c).agg(F.min(order).alias(f"least_{c}")) for c in "ij"}
+        both = near.join(least["i"], [key, "i"]).join(least["j"], [key, "j"]).where((F.col("least_i") == order) & (F.col("least_j") == order))
+        taken = scratch(both.select(key, "i", "j", "d"), "taken")
+        found.append(taken)
+        near = scratch(near.join(taken.select(key, "i"), [key, "i"], "left_anti").join(taken.select(key, "j"), [key, "j"], "left_anti").select(key, "i", "j", "d"), "pairs")
+    return reduce(DataFrame.unionByName, found)
+
+
+def greedy_pairs(a: DataFrame, b: DataFrame, key: str = "mol_id", radius: float = 3.0, at_once: int = 500_000) -> DataFrame:
+    """key, i, j, d: the closest points of a and b (key, idx, x, y, z), then the closest of the rest, up to radius; j null: not paired, and i for b's.
+
+    Of equal distances the lower i, then j, comes first. A key with more than at_once near
+    pairs is paired by joins, in rounds; the others are each one task's work.
+    """
+    near = near_pairs(a.select(key, "idx", *XYZ), b.select(key, "idx", *XYZ), key, radius).select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"), "d")
+    small, large = _sizes(near, key, at_once)
+    listed = small.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "i", "j"))).alias("near"))
+
+    def pair(k, found):
         used_i, used_j = set(), set()
-        for r in found if found is not None else ():
+        for r in found:
             if r["i"] not in used_i and r["j"] not in used_j:
                 used_i.add(r["i"])
                 used_j.add(r["j"])
                 yield k, r["i"], r["j"], r["d"]
-        for i in i_all if i_all is not None else ():
-            if i not in used_i:
-                yield k, i, None, None
-        for j in j_all if j_all is not None else ():
-            if j not in used_j:
-                yield k, None, j, None
 
-    return _each(groups, pair, f"{key} long, i long, j long, d double")
+    pairs = _each(listed, pair, f"{key} long, i long, j long, d double")
+    if large is not None:
+        pairs = pairs.unionByName(_matched(large, key))
+    pairs = scratch(pairs, "matched")
+    none = {c: F.lit(None).cast(k) for c, k in (("i", "long"), ("j", "long"), ("d", "double"))}
+    alone = lambda rows, mine, other: (
+        rows.select(key, F.col("idx").cast("long").alias(mine)).join(pairs.select(key, mine), [key, mine], "left_anti").withColumns({c: none[c] for c in (other, "d")})
+    )
+    return pairs.unionByName(alone(a, "i", "j")).unionByName(alone(b, "j", "i"))
 
 
 def _boxes(points: DataFrame, key: str, edge: float) -> DataFrame:
@@ -282,11 +309,28 @@ def bond_midpoints(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return both.select("mol_id", "i", "j", "bond_order", *(((F.col(f"i{c}") + F.col(f"j{c}")) / 2).alias(c) for c in XYZ))
 
 
-def pruned(points: DataFrame, radius: float = 0.9, key: str = "mol_id") -> DataFrame:
-    """points(key, idx, fixed, x, y, z) without those nearer than radius to an earlier one that stays; fixed ones stay."""
-    a = points.select(key, F.col("idx").alias("i"), *(F.col(c).alias(f"a{c}") for c in XYZ))
-    b = points.select(key, F.col("idx").alias("j"), F.col("fixed").alias("fj"), *(F.col(c).alias(f"b{c}") for c in XYZ))
-    close = a.join(b, key).where("i < j and not fj").where(distance(_at("a"), _at("b")) < radius).select(key, "i", "j")
+def _outlived(near: DataFrame, key: str) -> DataFrame:
+    """key, j that go, of near(key, i, j), i before j: those near an earlier one that stays, in rounds.
+
+    A round settles every point without an earlier one that is still open: it stays, and what is near it goes.
+    """
+    found = []
+    while not near.isEmpty():
+        stays = near.select(key, "i").distinct().join(near.select(key, F.col("j").alias("i")), [key, "i"], "left_anti")
+        gone = scratch(near.join(stays, [key, "i"], "left_semi").select(key, "j").distinct(), "gone")
+        found.append(gone)
+        near = scratch(near.join(gone, [key, "j"], "left_anti").join(gone.withColumnRenamed("j", "i"), [key, "i"], "left_anti"), "near")
+    return reduce(DataFrame.unionByName, found)
+
+
+def pruned(points: DataFrame, radius: float = 0.9, key: str = "mol_id", at_once: int = 500_000) -> DataFrame:
+    """points(key, idx, fixed, x, y, z) without those nearer than radius to an earlier one that stays; fixed ones stay.
+
+    A key with more than at_once near pairs is settled by joins, in rounds; the others are each one task's work.
+    """
+    both = near_pairs(points.select(key, "idx", *XYZ), points.select(key, "idx", "fixed", *XYZ), key, radius)
+    close = both.where("idx < r_idx and not r_fixed").where(F.col("d") < radius).select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"))
+    small, large = _sizes(close, key, at_once)
 
     def drop(k, found):
         gone: set = set()
@@ -295,5 +339,7 @@ def pruned(points: DataFrame, radius: float = 0.9, key: str = "mol_id") -> DataF
                 gone.add(r["j"])
                 yield k, r["j"]
 
-    groups = close.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("j", "i"))).alias("found"))
-    return points.join(_each(groups, drop, f"{key} long, idx long"), [key, "idx"], "left_anti")
+    gone = _each(small.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("j", "i"))).alias("found")), drop, f"{key} long, idx long")
+    if large is not None:
+        gone = gone.unionByName(_outlived(large, key).withColumnRenamed("j", "idx"))
+    return points.join(gone.distinct(), [key, "idx"], "left_anti")
