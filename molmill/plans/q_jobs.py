@@ -1,11 +1,12 @@
 """Queries of whole workloads, unions, extension points and incremental jobs."""
 
-import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import vocab
 from ..operators import scores
+from ..operators.aggregates import aggregated
 from ..operators.filters import MolFilter, preset
 from ..operators.voxels import union_in_order
 from ..sources import parse as P
@@ -132,8 +133,9 @@ FROM r WHERE p > 0 AND l > 0""")
 def k3_complex_rows(spark, d):
     a = view(spark, d, "v_atoms").withColumn("pdb_id", F.floor(F.col("mol_id") / 100))  # a hundred molecules a complex, however large the table
     place = F.sort_array(F.collect_list(F.struct("mol_id", "atom_idx", F.array(*(F.col(c).cast("float") for c in "xyz")).alias("p"), F.array(F.col("atomic_num").cast("smallint")).alias("t"))))
-    half = lambda w, n: a.where(w).groupBy("pdb_id").agg(place.alias("a")).select("pdb_id", F.col("a.p").alias(f"{n}_coords"), F.col("a.t").alias(f"{n}_types"))
-    rows = half("record = 'HETATM'", "lig").join(half("record = 'ATOM'", "prot"), "pdb_id")
+    half = lambda w: a.where(w).groupBy("pdb_id").agg(place.alias("a")).select("pdb_id", F.col("a.p").alias("coords"), F.col("a.t").alias("types"))
+    lig, prot = (W.write_bucketed(half(f"record = '{r}'"), "pdb_id") for r in ("HETATM", "ATOM"))
+    rows = W.complex_rows(lig, prot)
     at = fresh_dir(spark, "complexes")
     W.write_complexes(rows, at)
     rows = spark.read.parquet(at)
@@ -209,13 +211,24 @@ def x4_custom_delimiter(spark, d):
 
 @query("SELECT pdb_id, count(*) AS n, R6[[max(affinity) - min(affinity)]] AS span FROM v_scores GROUP BY pdb_id")
 def x5_grouped_apply(spark, d):
-    def span(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pdb_id": [pdf.pdb_id.iloc[0]], "n": [int(pdf.n.sum())], "high": [pdf.high.max()], "low": [pdf.low.min()]})
+    class Span:
+        """How many values, the least and the greatest; missing ones count, but have no part in the span."""
 
-    # Parts of a group are summed up first, so that no task holds a whole one.
-    parts = view(spark, d, "v_scores").groupBy("pdb_id", F.pmod(F.col("mol_idx"), F.lit(16)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("affinity").alias("high"), F.min("affinity").alias("low"))
-    got = parts.groupBy("pdb_id").applyInPandas(span, "pdb_id string, n long, high double, low double")
-    return got.select("pdb_id", "n", r6(F.col("high") - F.col("low")).alias("span"))
+        def start(self):
+            return 0, None, None
+
+        def add(self, state, rows):
+            found = pc.min_max(rows["affinity"])
+            return self.merge(state, (len(rows), found["min"].as_py(), found["max"].as_py()))
+
+        def merge(self, a, b):
+            some = lambda f, x: f(v for v in x if v is not None) if any(v is not None for v in x) else None
+            return a[0] + b[0], some(min, (a[1], b[1])), some(max, (a[2], b[2]))
+
+        def finish(self, state):
+            return state[0], None if state[1] is None else state[2] - state[1]
+
+    return rounded(aggregated(view(spark, d, "v_scores").select("pdb_id", "affinity"), ["pdb_id"], Span(), "n long, span double"), "span")
 
 
 @query("SELECT concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, count(*) FILTER (WHERE atomic_num <> 1) AS num_atoms FROM v_atoms GROUP BY mol_id HAVING count(*) FILTER (WHERE atomic_num <> 1) BETWEEN 4 AND 10")

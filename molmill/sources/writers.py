@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import padded, symbol_of
+from ..storage import fresh_dir
 
 DUMMY = "dummy\n  none\n\n  1  0  0  0  0  0  0  0  0  0999 V2000\n    0.0000    0.0000    0.0000 C   0  0\nM  END\n"
 DUMMY_MODEL = "ATOM      1  C   UNK A   1       0.000   0.000   0.000  1.00  0.00     0.000 C"
@@ -69,6 +70,23 @@ def write_packed(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
 
 
+def write_bucketed(rows: DataFrame, key: str, buckets: int = 32, name: str = "half") -> DataFrame:
+    """rows written as a table in buckets of the key, in its order, and read back: joins of such tables with as many buckets move no row.
+
+    The table lies in the shared folder; its name, new each time, is known to this session's catalog.
+    """
+    spark, at = rows.sparkSession, fresh_dir(rows.sparkSession, name)
+    table = at.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", at).saveAsTable(table)
+    return spark.table(table)
+
+
+def complex_rows(ligand: DataFrame, pocket: DataFrame, key: str = "pdb_id") -> DataFrame:
+    """key, lig_coords, lig_types, prot_coords, prot_types of two tables(key, coords, types), of keys that are in both."""
+    of = lambda rows, n: rows.select(key, F.col("coords").alias(f"{n}_coords"), F.col("types").alias(f"{n}_types"))
+    return of(ligand, "lig").hint("merge").join(of(pocket, "prot"), key)
+
+
 def write_complexes(rows: DataFrame, path: str) -> None:
     """rows(pdb_id, lig_coords, lig_types, prot_coords, prot_types)"""
     rows.repartitionByRange("pdb_id").sortWithinPartitions("pdb_id").write.parquet(path)
@@ -104,7 +122,7 @@ def write_next_inputs(pairs: DataFrame, path: str) -> None:
 
 def write_blocks_by_file(mols: DataFrame, path: str) -> None:
     """mols(file, block) untouched, a folder per source file, gz."""
-    mols.select("file", F.col("block").alias("value")).write.partitionBy("file").option("compression", "gzip").text(path)
+    mols.select("file", F.col("block").alias("value")).hint("rebalance", "file").write.partitionBy("file").option("compression", "gzip").text(path)
 
 
 def model_texts(results: DataFrame, key: str = "file") -> DataFrame:
