@@ -35,12 +35,27 @@ def s1_sdf_blocks(spark, d):
     return got.select("file", F.col("mol_idx").cast("long").alias("mol_idx"), P.molecule_name(F.col("block")).alias("name"), "block")
 
 
-@query(_BLOCKS + "SELECT concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, block FROM k")
+def written(spark, texts):
+    """texts(file, text) as one file each; what reads them finds its number in the path."""
+    at = fresh_dir(spark, "texts")
+    texts.select("file", F.col("text").alias("value")).repartition("file").write.partitionBy("file").text(at)
+    return at
+
+
+def by_number(rows):
+    return rows.withColumn("file", F.regexp_extract("file", r"file=(\d+)", 1).cast("long")).withColumn("mol_idx", F.col("mol_idx").cast("long"))
+
+
+def many(rows, block="block", end=""):
+    """A thousand molecules a file, in order."""
+    each = rows.withColumn("file", F.floor(F.col("mol_id") / 1000)).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("mol_id", F.col(block).alias("block")))).alias("all"))
+    return each.select("file", F.array_join(F.transform("all", lambda s: F.concat(s["block"], F.lit(end))), "").alias("text"))
+
+
+@query(_BLOCKS + "SELECT mol_id // 1000 AS file, row_number() OVER (PARTITION BY mol_id // 1000 ORDER BY mol_id) - 1 AS mol_idx, concat('ZINC', CAST(mol_id AS VARCHAR)) AS name, block FROM k")
 def s1_sdf_files(spark, d):
     """Written as SDF files and read again."""
-    at = fresh_dir(spark, "sdf")
-    W.write_sdf(blocks(spark, d).withColumnRenamed("mol_id", "mol_idx"), at)
-    return R.read_sdf(spark, at).select("name", "block")
+    return by_number(R.read_sdf(spark, written(spark, many(blocks(spark, d), end="$$$$\n"))))
 
 
 def mol2(spark, d):
@@ -58,6 +73,12 @@ def s2_mol2_blocks(spark, d):
     return got.select("mol_id", F.col("mol_idx").cast("long").alias("mol_idx"), P.molecule_name(F.col("block")).alias("name"))
 
 
+@query("SELECT mol_id // 1000 AS file, row_number() OVER (PARTITION BY mol_id // 1000 ORDER BY mol_id) - 1 AS mol_idx, concat('ZINC', CAST(mol_id AS VARCHAR)) AS name FROM (SELECT DISTINCT mol_id FROM v_atoms) t")
+def s2_mol2_files(spark, d):
+    """Written as MOL2 files and read again."""
+    return by_number(R.read_mol2(spark, written(spark, many(mol2(spark, d), "text", "\n")))).select("file", "mol_idx", "name")
+
+
 def pdb_lines(spark, d):
     line = F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00    %6.3f %-2s", "record", F.col("atom_idx") + 1, E.symbol_of(F.col("atomic_num")), "res_name", "chain", "res_num", "x", "y", "z", F.lit(0.25), E.symbol_of(F.col("atomic_num")))
     return view(spark, d, "v_atoms").select("mol_id", line.alias("line"))
@@ -77,6 +98,14 @@ def s4_pdbqt_models(spark, d):
     return got.select("file", F.col("mol_idx").cast("long").alias("mol_idx"), P.model_atoms(F.col("block")).cast("long").alias("n_atoms"))
 
 
+@query("SELECT mol_id // 1000 AS file, row_number() OVER (PARTITION BY mol_id // 1000 ORDER BY mol_id) - 1 AS mol_idx, count(*) AS n_atoms FROM v_atoms GROUP BY mol_id")
+def s4_pdbqt_files(spark, d):
+    """Written as files of many models and read again."""
+    one = pdb_lines(spark, d).groupBy("mol_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("block"))
+    files = W.model_texts(one.select(F.floor(F.col("mol_id") / 1000).alias("file"), F.col("mol_id").alias("mol_idx"), "block"))
+    return by_number(R.read_pdbqt_models(spark, written(spark, files))).select("file", "mol_idx", F.col("n_atoms").cast("long").alias("n_atoms"))
+
+
 @query("SELECT page_id, url FROM pages WHERE NOT contains(url, '/fr/') AND NOT contains(url, 'ref=x')")
 def s5_discovered_files(spark, d):
     return R.without_parts(view(spark, d, "pages").select("page_id", "url"), ("/fr/", "ref=x"), "url")

@@ -43,19 +43,29 @@ def _sdf_name(mark: str) -> Column:
     return F.coalesce(P.molecule_name(F.col("block"), mark), F.trim(F.get(P.lines(F.col("block")), 0)))
 
 
-def read_sdf(spark: SparkSession, paths, separator: str = "$$$$\n", mark: str = "ZINC") -> DataFrame:
-    """(file, mol_idx, name, block), plain or gz. Blocks end with the separator; mol_idx is a block's place in its file.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows(file, split, …) as they were read, with mol_idx, a row's place in its file.
 
-    Plain files are split between tasks. A block's place is its number in its split, and the
-    blocks of the splits before it, which one row a split counts; no block is shuffled.
+    A row's place is its number in its split, and the rows of the splits before it, which one
+    row a split counts; no row is shuffled.
     """
-    rows = spark.read.option("lineSep", separator).text(paths)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\$\$\$\$\s*$", "").alias("block"))
-    rows = rows.where(F.contains(F.rtrim("block"), F.lit("\n"))).withColumn("number", F.monotonically_increasing_id())
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
     splits = rows.groupBy("file", "split").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
     placed = rows.join(splits.select("file", "split", (before - F.col("first")).alias("shift")), ["file", "split"])
-    return placed.select("file", (F.col("number") + F.col("shift")).cast("int").alias("mol_idx"), _sdf_name(mark).alias("name"), "block")
+    return placed.withColumn("mol_idx", (F.col("number") + F.col("shift")).cast("int")).drop("number", "shift", "split")
+
+
+def _records(spark: SparkSession, paths, separator: str) -> DataFrame:
+    """(file, split, block): what stands between separators; plain files are split between tasks."""
+    rows = spark.read.option("lineSep", separator).text(paths)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("block"))
+
+
+def read_sdf(spark: SparkSession, paths, separator: str = "$$$$\n", mark: str = "ZINC") -> DataFrame:
+    """(file, mol_idx, name, block), plain or gz. Blocks end with the separator; mol_idx is a block's place in its file."""
+    rows = _records(spark, paths, separator).withColumn("block", F.regexp_replace("block", r"\$\$\$\$\s*$", ""))
+    return _numbered(rows.where(F.contains(F.rtrim("block"), F.lit("\n")) & F.rlike("block", F.lit(r"\S")))).select("file", "mol_idx", _sdf_name(mark).alias("name"), "block")
 
 
 def read_sdf_whole(spark: SparkSession, paths, separator: str = r"\$\$\$\$\r?\n?", mark: str = "ZINC") -> DataFrame:
@@ -63,15 +73,10 @@ def read_sdf_whole(spark: SparkSession, paths, separator: str = r"\$\$\$\$\r?\n?
     return split_blocks(_texts(spark, paths), separator, "file").select("file", "mol_idx", _sdf_name(mark).alias("name"), "block")
 
 
-def read_sdf_unnumbered(spark: SparkSession, paths) -> DataFrame:
-    """(file, name, block) of plain files that may be split between tasks; molecules are told apart by name only."""
-    rows = spark.read.option("lineSep", "$$$$\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("block"))
-    return rows.where(F.contains(F.rtrim("block"), F.lit("\n"))).select("file", F.trim(F.get(P.lines(F.col("block")), 0)).alias("name"), "block")
-
-
 def read_mol2(spark: SparkSession, paths, separator: str = "@<TRIPOS>MOLECULE", mark: str = "ZINC") -> DataFrame:
-    blocks = split_blocks(_texts(spark, paths), separator, "file", skip_first=True)
-    return blocks.select("file", "mol_idx", P.molecule_name(F.col("block"), mark).alias("name"), "block")
+    """(file, mol_idx, name, block), plain or gz. Blocks begin after the separator; what stands before the first is none, and a separator with nothing after it counts in mol_idx, but has no row."""
+    rows = _numbered(_records(spark, paths, separator)).where("mol_idx > 0").withColumn("mol_idx", F.col("mol_idx") - 1)
+    return rows.where(F.contains(F.rtrim("block"), F.lit("\n"))).select("file", "mol_idx", P.molecule_name(F.col("block"), mark).alias("name"), "block")
 
 
 def read_pdb(spark: SparkSession, paths) -> DataFrame:
@@ -80,9 +85,9 @@ def read_pdb(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_pdbqt_models(spark: SparkSession, paths) -> DataFrame:
-    """(file, mol_idx, block, n_atoms)"""
-    each = _texts(spark, paths).select("file", F.posexplode(P.models(F.col("text"))).alias("mol_idx", "block"))
-    return each.withColumn("n_atoms", P.model_atoms(F.col("block")))
+    """(file, mol_idx, block, n_atoms), plain or gz: models end with ENDMDL; empty ones are left out."""
+    rows = _records(spark, paths, "ENDMDL").withColumn("block", P.first_model(F.col("block"))).where("block is not null")
+    return _numbered(rows).select("file", "mol_idx", "block", P.model_atoms(F.col("block")).alias("n_atoms"))
 
 
 READERS = {"sdf": read_sdf, "mol2": read_mol2, "pdb": read_pdb, "pdbqt": read_pdbqt_models}

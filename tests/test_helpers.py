@@ -156,7 +156,6 @@ def test_sdf_round_trip_through_files(spark, tmp_path):
         f.write(text)
     both = R.read_by_extension(spark, [str(tmp_path / "a.sdf"), str(tmp_path / "b.sdf.gz")])["sdf"]
     assert both.groupBy("name").count().where("count = 2").count() == 6
-    assert R.read_sdf_unnumbered(spark, str(tmp_path / "a.sdf")).count() == 6
     with pytest.raises(ValueError):
         R.read_by_extension(spark, ["x.txt"])
     found = R.find_files(spark, str(tmp_path), "*.sdf*", ("b.sdf",))
