@@ -1,5 +1,8 @@
 """Histograms of properties, stratified and other reproducible samples, mixtures of two sources."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,13 +98,16 @@ def alpha_at(epoch: int, start: float, rate: float, low: float, high: float) ->
 
 
 def mixture(complexes: DataFrame, library: DataFrame, alpha: float, epoch: int, n_complex: int, n_library: int) -> DataFrame:
-    """All complexes, and int(alpha * n_complex) library rows (numbered in idx) from where this epoch's window starts, past the end from the start.
+    """All complexes, and int(alpha * n_complex) library rows (numbered in idx, from 0 or 1 on) from where this epoch's window starts, past the end from the start.
 
-    Columns that one side lacks are null, arrays empty.
+    The window is a range of idx, or two, which the scan of the library can be cut to. Columns that one side lacks are null, arrays empty.
     """
     n = int(alpha * n_complex)
     if n and n_library:
         place = F.pmod(F.col("idx") - epoch * n, F.lit(n_library))
+        if n < n_library:
+            start = epoch * n % n_library
+            library = library.where(reduce(or_, ((F.col("idx") >= start + k) & (F.col("idx") < start + k + n) for k in (-n_library, 0, n_library) if start + k <= n_library and start + k + n > 0)))
         rounds = F.expr(f"explode(sequence(0, {-(-n // n_library) - 1}))")
         window = library.withColumn("_round", rounds).withColumn("place", place + F.col("_round") * n_library).where(F.col("place") < n).drop("_round")
     else:
