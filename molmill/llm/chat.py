@@ -34,14 +34,15 @@ def _spans(turns: Column, role: str) -> Column:
 
 
 def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column, trained_role: str = "assistant") -> DataFrame:
-    """One row per pair: pair_id, n_prefix (turns), prompt, chosen, rejected, chosen_spans, rejected_spans.
+    """One row per pair: pair_id, n_prefix (turns), prompt, chosen, rejected, chosen_spans, rejected_spans, differs.
 
     conversations needs turn, role and text, and what pair and rejected are made of: pair
     says to which pair a row belongs, rejected on which side it is. Turns are in order of
     turn, nulls first, ties by role and text. Null roles and texts count as empty, repeated
     rows as turns. Rows whose pair or side is null belong to no pair. A pair that lacks a
-    side has no common prefix, and null for that side's completion and spans. A pair is one
-    training example, so one task holds it. No rows give no rows.
+    side has no common prefix, and null for that side's completion and spans. differs tells
+    pairs that state a preference, with two completions that are not the same; the others keep
+    their row. A pair is one training example, so one task holds it, however long its texts. No rows give no rows.
     """
     rows = conversations.select(
         pair.alias("pair_id"), rejected.alias("side"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said")
@@ -55,8 +56,9 @@ def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column, t
     both = both.withColumn("n", n)
     rest = {s: F.slice(F.col(s), F.col("n") + 1, F.greatest(F.size(s) - F.col("n"), F.lit(0))) for s in "cr"}
     there = lambda s, x: F.when(F.size(s) > 0, x)
-    return both.select(
+    made = both.select(
         "pair_id", F.col("n").cast("long").alias("n_prefix"), _rendered(F.slice("c", 1, F.col("n"))).alias("prompt"),
         there("c", _rendered(rest["c"])).alias("chosen"), there("r", _rendered(rest["r"])).alias("rejected"),
         there("c", _spans(rest["c"], trained_role)).alias("chosen_spans"), there("r", _spans(rest["r"], trained_role)).alias("rejected_spans"),
     )
+    return made.withColumn("differs", F.coalesce(F.col("chosen") != F.col("rejected"), F.lit(False)))

@@ -56,8 +56,24 @@ NOTICES += (
     ("bsd", "bsd 2 clause license", "bsd 2 clause"),
     ("bsd", "bsd 3 clause license", "bsd 3 clause"),
     ("isc", "isc license copyright c", "isc license"),
+    *(("agpl-3", words, key) for words, key in (
+        (_HEADER.format("affero ", "3"), ("gnu affero general public license", "version 3 of the license")),
+        ("licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
+        ("gnu affero general public license version 3 19 november 2007", "gnu affero general public license version 3"),
+    )),
+    *((f"gpl-{v}", f"licensed under gplv{v}", f"under gplv{v}") for v in "23"), *((f"gpl-{v}", f"licensed under the gpl v{v}", f"under the gpl v{v}") for v in "23"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"), ("epl-2", "eclipse public license v 2 0", "eclipse public license v 2 0"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0", "eclipse public license v1 0"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license version 1 0"), ("boost", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the zlib libpng license zlib", "zlib libpng license"), ("zlib", "the zlib license", "zlib license"),
+    ("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"), ("cddl", "common development and distribution license cddl version 1 0", "common development and distribution license"),
+    ("artistic-2", "the artistic license 2 0", "artistic license 2 0"), ("artistic", "under the terms of the artistic license", "terms of the artistic license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("the software is provided as is without warranty of any kind", "and noninfringement")),
     *((f"cc-by{part}", f"creative commons attribution {name}{v}", f"creative commons attribution {name}{v[:3]}") for part, name in (
         ("", ""), ("-sa", "sharealike "), ("-nc", "noncommercial "), ("-nd", "noderivatives "), ("-nc-sa", "noncommercial sharealike "), ("-nc-nd", "noncommercial noderivatives "),
+        ("-nd", "noderivs "), ("-nc-nd", "noncommercial noderivs "),
     ) for v in ("4 0 international", "3 0 unported", "2 5 generic", "2 0 generic")),
     ("cc0", "creative commons legal code cc0 1 0 universal", "cc0 1 0 universal"),
     ("cc0", "cc0 1 0 universal", "cc0 1 0 universal"),
@@ -65,6 +81,15 @@ NOTICES += (
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 
+# Identifiers of one line, as the words that they make, and their labels.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 0": "lgpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl-3", "mpl 2 0": "mpl-2", "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd", "isc": "isc", "epl 1 0": "epl-1", "epl 2 0": "epl-2", "bsl 1 0": "boost", "zlib": "zlib", "cddl 1 0": "cddl", "cddl 1 1": "cddl", "artistic 2 0": "artistic-2", "cc0 1 0": "cc0", "unlicense": "unlicense",
+    "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd", "cc by nc sa 4 0": "cc-by-nc-sa", "cc by nc nd 4 0": "cc-by-nc-nd",
+}
+NOTICES += tuple((label, f"spdx license identifier {words}", f"spdx license identifier {words}") for words, label in IDENTIFIERS.items())
+NEGATIONS = frozenset((b"not", b"never"))
+
 
 class Index:
     """Templates' words and the postings of their anchors; whole phrases, each with one anchor, are found by the same look-up."""
@@ -148,7 +173,8 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int
     are their least and greatest start, null if there is none. labels holds base_labels and
     those of the notices found; both are sorted, distinct and joined by commas, empty if
     there are none. score is 1 with a base label, else the best share of a notice's words
-    that agree, 0 without any. spans: label, first, last (the word after it) and share of
+    that agree, 0 without any. A notice with not or never as one of the two words before it is none ('not
+    licensed under …'); base phrases stay. spans: label, first, last (the word after it) and share of
     each notice found. Null and empty texts have no words. Repeated rows are rows of their
     own; other columns are ignored. Texts count whole, however long; the work grows with
     their length. No rows give no rows.
@@ -169,7 +195,7 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int
                 at = index.places(words)
                 hits = index.whole(words, at)
                 base, places = {label_of[k] for k, _ in hits}, [first for _, first in hits]
-                found = index.find(words, at, least_mass, least_share)
+                found = [f for f in index.find(words, at, least_mass, least_share) if not NEGATIONS & set(words[max(0, f[1] - 2) : f[1]])]
                 labels = base | {f[0] for f in found}
                 score = 1.0 if base else max((f[3] for f in found), default=0.0)
                 spans = [dict(zip(("label", "first", "last", "share"), f, strict=True)) for f in found]

@@ -33,7 +33,7 @@ def op2_preference_pairs(spark, sf_dir):
     both = both.withColumn("text", F.when(F.col("is_rejected") & F.coalesce(swapped, F.lit(False)), F.col("other")).otherwise(F.col("text")))
     got = preference_pairs(both, F.col("conv_id"), F.col("is_rejected"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["first"], F.lit("-"), s["last"])), ",").alias(c)
-    return got.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
+    return got.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"), "differs")
 
 
 def op3_lm_scores(spark, sf_dir):
@@ -200,7 +200,8 @@ SELECT pair_id, any_value(n_prefix) AS n_prefix,
        CASE WHEN count(*) FILTER (WHERE side = 0) > 0 THEN coalesce(string_agg(line, '' ORDER BY nth) FILTER (WHERE own AND side = 0), '') END AS chosen,
        CASE WHEN count(*) FILTER (WHERE side = 1) > 0 THEN coalesce(string_agg(line, '' ORDER BY nth) FILTER (WHERE own AND side = 1), '') END AS rejected,
        CASE WHEN count(*) FILTER (WHERE side = 0) > 0 THEN coalesce(string_agg(concat(CAST(upto - length(line) + head AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY nth) FILTER (WHERE own AND side = 0 AND role = 'assistant'), '') END AS chosen_spans,
-       CASE WHEN count(*) FILTER (WHERE side = 1) > 0 THEN coalesce(string_agg(concat(CAST(upto - length(line) + head AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY nth) FILTER (WHERE own AND side = 1 AND role = 'assistant'), '') END AS rejected_spans
+       CASE WHEN count(*) FILTER (WHERE side = 1) > 0 THEN coalesce(string_agg(concat(CAST(upto - length(line) + head AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY nth) FILTER (WHERE own AND side = 1 AND role = 'assistant'), '') END AS rejected_spans,
+       coalesce(chosen <> rejected, false) AS differs
 FROM s GROUP BY pair_id
 """,
 }

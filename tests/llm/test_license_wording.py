@@ -20,6 +20,16 @@ REAL = [
     ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"), ("Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-nd"),
     ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 2.5 Generic", "cc-by-nc-nd"),
     ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "cc0"), ("Copyright 2019 A. Person. All rights reserved.", "all-rights-reserved"),
+    (FREE.format("Affero ", "3"), "agpl-3"), ("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007", "agpl-3"), ("Licensed under GPLv3.", "gpl-3"), ("licensed under the GPL v2", "gpl-2"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl-2"), ("Eclipse Public License - v 2.0", "epl-2"), ("terms of the Eclipse Public License v1.0", "epl-1"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "boost"), ("The zlib/libpng License (Zlib)", "zlib"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License (the License).", "cddl"), ("under the terms of the Artistic License", "artistic"), ("The Artistic License 2.0", "artistic-2"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License", "cc-by-nc-nd"), ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("SPDX-License-Identifier: AGPL-3.0-only", "agpl-3"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc,cc-by-nc-sa"), ("SPDX-License-Identifier: Unknown-1.0", ""),
+    ("It is not licensed under the GNU GPL v3, nor under another one.", ""), ("This work is not licensed under the GNU General Public License, version 3", ""), ("never licensed under GPLv3", ""),
     ("all human rights are reserved", ""), ("a general public and creative commons attribution of the license", ""), ("version 3 of the license of the general public", ""),
 ]
 
