@@ -6,15 +6,19 @@ other frequent words, or a class of rarer words by their last two bytes. Then th
 within its group, for which it has a vector of its own; inside a class of rare words, a
 word's probability is its smoothed share of the class's training tokens. All steps are
 normalised, so scores are log probabilities. The words with vectors are those seen often
-enough, so that they grow with the corpus up to a stated number; groups are runs of them
-in the order of their endings.
+enough; how many at most grows with the cube root of the training tokens. Groups are runs
+of them in the order of their endings, and their number grows with the square root of the
+words', so that a token's cost does too.
 
 Word counts cover all training rows. Texts are then written once as codes. Training goes
-over each of them once: a hash of a row's id and text deals it to one of the rounds, and to
-one of the shards, whose number follows from the number of tokens. In a round each shard's
-task takes noise-contrastive steps through its texts in the order of their hashes, with
-noise drawn from the counts, and the shards' parameters, arrays of a stated size, are
-averaged by tokens. So a model does not depend on how the rows are partitioned.
+over each of them once: a hash of a row's id and text deals it to one of the rounds, whose
+number grows with the logarithm of the number of tokens, and to one of the round's shards. In
+a round each shard's task takes noise-contrastive steps through its texts in the order of
+their hashes, with noise drawn from the counts. Each parameter moves by the mean of its
+shards' moves, weighted by the squared gradients that it had in them: a word that few shards
+saw keeps what it learnt there. The next round goes on from there, step sizes included. So
+more tokens make a model better and not flatter, and a model does not depend on how the rows
+are partitioned.
 """
 
 import zlib
@@ -32,12 +36,11 @@ from pyspark.sql.window import Window
 from .common import remainder, scratch, spaced_words, summed
 
 END = b"\n"  # no word holds white space
-SINGLES, GROUPS, CLASSES = 48, 48, 64  # the end is among the singles
-SYMBOLS = SINGLES + GROUPS + CLASSES
+SINGLES, GROUPS, CLASSES = 48, 48, 64  # the end is among the singles; so many groups for up to OWN_WORDS words
 WIDTH = 16
 NOISE, WORD_NOISE = 24, 2  # noise symbols a block of tokens, noise words a token
 HEAD_WORDS = 100_000
-OWN_WORDS, LEAST_COUNT = 4_096, 50
+OWN_WORDS, LEAST_COUNT = 4_096, 50  # words with vectors for up to SHARD_TOKENS training tokens
 SHARD_TOKENS = 4_000_000
 STEP, SCORED = 1024, 512  # tokens a step trains on, and tokens whose scores of all symbols are held at once
 _FLUSH = 200_000
@@ -65,6 +68,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def words_with_vectors(tokens: int, own_words: int = OWN_WORDS) -> int:
+    return round(own_words * max(1.0, tokens / SHARD_TOKENS) ** (1 / 3))
+
+
+def groups_of(own_words: int) -> int:
+    return max(GROUPS, round(GROUPS * (own_words / OWN_WORDS) ** 0.5))
+
+
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
@@ -88,10 +99,12 @@ class Vocabulary:
         words = [bytes(r[0]) for r in head]
         n = np.array([r[1] for r in head], dtype=np.float64)
         self.place = dict(zip(words, range(len(words)), strict=True))
-        often = [w for w, k in zip(words, n.tolist(), strict=True) if w != END and k >= least_count][: max(own_words - 1, 0)]
+        often = [w for w, k in zip(words, n.tolist(), strict=True) if w != END and k >= least_count][: max(words_with_vectors(self.tokens, own_words) - 1, 0)]
         singles, others = [END, *often[: SINGLES - 1]], sorted(often[SINGLES - 1 :], key=lambda w: w[::-1])
-        self.first = SINGLES + np.array([len(others) * g // GROUPS for g in range(GROUPS + 1)])  # codes at which the groups begin
+        groups = groups_of(len(others))
+        self.first = SINGLES + np.array([len(others) * g // groups for g in range(groups + 1)])  # codes at which the groups begin
         self.codes = int(self.first[-1]) + CLASSES
+        self.kind = "<u2" if self.codes <= 1 << 16 else "<u4"  # how a code is written
         code = dict(zip(singles, range(len(singles)), strict=True)) | dict(zip(others, range(SINGLES, SINGLES + len(others)), strict=True))
         tail = int(self.first[-1])
         self.code = np.array([code.get(w, -1) for w in words], dtype=np.int64)
@@ -149,7 +162,7 @@ def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 known.append(len(places) + (end >= 0))
                 base.append(float(v.log_count[places].sum()) + (float(v.log_count[end]) if end >= 0 else float(np.log10(0.5))) - n * float(v.log_base))
                 share.append(float(v.log_share[places].sum()) - float(k @ v.log_class[list(classes.values())]) if rest else float(v.log_share[places].sum()))
-                codes.append(code.astype("<u2").tobytes() + b"\0\0")
+                codes.append(np.append(code, 0).astype(v.kind).tobytes())
                 tails.extend(rest)
                 times.append(k)
                 ends.append(ends[-1] + len(rest))
@@ -169,6 +182,15 @@ def _log_sigmoid(x: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, -x)
 
 
+def flattened(part: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in part.values()]).astype(np.float64)
+
+
+def shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([p.size for p in like.values()])
+    return {k: x.reshape(p.shape).astype(np.float32) for (k, p), x in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
 class Model:
     """Log-bilinear: a context's vector is the sum of its two words' vectors, each times the matrix of its place."""
 
@@ -176,9 +198,10 @@ class Model:
         """first: codes at which the groups begin; code_counts: training tokens by code."""
         r = np.random.default_rng(seed)
         self.first, self.codes = first, len(code_counts)
-        grouped = self.codes - SINGLES - CLASSES
-        self.symbol = np.concatenate([np.arange(SINGLES), np.repeat(np.arange(SINGLES, SINGLES + GROUPS), np.diff(first)), np.arange(SINGLES + GROUPS, SYMBOLS)])
-        share = np.bincount(self.symbol, weights=code_counts, minlength=SYMBOLS) + 0.5
+        self.groups, grouped = len(first) - 1, self.codes - SINGLES - CLASSES
+        symbols = SINGLES + self.groups + CLASSES
+        self.symbol = np.concatenate([np.arange(SINGLES), np.repeat(np.arange(SINGLES, SINGLES + self.groups), np.diff(first)), np.arange(SINGLES + self.groups, symbols)])
+        share = np.bincount(self.symbol, weights=code_counts, minlength=symbols) + 0.5
         self.share = share / share.sum()
         words = code_counts[SINGLES : SINGLES + grouped] + 0.5
         self.upto = np.concatenate([[0.0], np.cumsum(words)])
@@ -189,17 +212,14 @@ class Model:
         small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
         self.part = {
             "near": np.eye(WIDTH, dtype=np.float32), "far": 0.5 * np.eye(WIDTH, dtype=np.float32), "context": small(self.codes, WIDTH),
-            "target": small(SYMBOLS, WIDTH), "bias": np.log(self.share).astype(np.float32), "word": small(grouped, WIDTH), "word_bias": np.log(word_share).astype(np.float32),
+            "target": small(symbols, WIDTH), "bias": np.log(self.share).astype(np.float32), "word": small(grouped, WIDTH), "word_bias": np.log(word_share).astype(np.float32),
         }
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.part.values()]).astype(np.float64)
+        return flattened(self.part)
 
     def load(self, flat: np.ndarray) -> "Model":
-        at = 0
-        for k, p in self.part.items():
-            self.part[k] = flat[at : at + p.size].reshape(p.shape).astype(np.float32)
-            at += p.size
+        self.part = shaped(flat, self.part)
         return self
 
     def vectors(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -210,7 +230,7 @@ class Model:
         """Noise: NOISE symbols for all tokens, and WORD_NOISE words of its own group for each token that has one."""
         noise = np.searchsorted(np.cumsum(self.share)[:-1], order.random(NOISE), side="right")
         group = self.symbol[token] - SINGLES
-        group = group[(group >= 0) & (group < GROUPS)]
+        group = group[(group >= 0) & (group < self.groups)]
         low, high = self.group_upto[group, None], self.group_upto[group + 1, None]
         words = np.searchsorted(self.upto, low + order.random((len(group), WORD_NOISE)) * (high - low), side="right") - 1
         return noise, np.clip(words, (self.first[group] - SINGLES)[:, None], (self.first[group + 1] - SINGLES - 1)[:, None])
@@ -226,7 +246,7 @@ class Model:
         fake = q @ p["target"][noise].T + p["bias"][noise] - self.log_noise[noise]
         up, down = 1 / (1 + np.exp(np.clip(true, -30, 30))), -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
         dq = up[:, None] * own + down @ p["target"][noise]
-        at = np.flatnonzero((s >= SINGLES) & (s < SINGLES + GROUPS))
+        at = np.flatnonzero((s >= SINGLES) & (s < SINGLES + self.groups))
         w, q2 = token[at] - SINGLES, q[at]
         own_words, far_words = p["word"][w], p["word"][words]
         true2 = np.einsum("bd,bd->b", q2, own_words) + p["word_bias"][w] - self.log_word_noise[w]
@@ -250,8 +270,8 @@ class Model:
             q, s = self.vectors(near[at : at + len(t)], far[at : at + len(t)]), self.symbol[t]
             got = np.concatenate([_picked(q[i : i + SCORED], p["target"], p["bias"], s[i : i + SCORED]) for i in range(0, len(t), SCORED)])
             by = np.argsort(s, kind="stable")
-            ends = np.searchsorted(s[by], np.arange(SINGLES, SINGLES + GROUPS + 1))
-            for g in range(GROUPS):
+            ends = np.searchsorted(s[by], np.arange(SINGLES, SINGLES + self.groups + 1))
+            for g in range(self.groups):
                 some = by[ends[g] : ends[g + 1]]
                 low, high = self.first[g] - SINGLES, self.first[g + 1] - SINGLES
                 if len(some):
@@ -273,15 +293,16 @@ def _picked(q: np.ndarray, target: np.ndarray, bias: np.ndarray, which: np.ndarr
 class Adagrad:
     """Steps up the gradient, of rows of tables only where they have one."""
 
-    def __init__(self, model: Model, rate: float):
+    def __init__(self, model: Model, rate: float, so_far: np.ndarray):
+        """so_far: the squared gradients of earlier steps, flat."""
         self.model, self.rate = model, rate
-        self.sum = {k: np.full_like(p, 1e-6) for k, p in model.part.items()}
+        self.sum = shaped(so_far, model.part)
 
     def step(self, gradient: dict) -> None:
         for k, g in gradient.items():
             p, total = self.model.part[k], self.sum[k]
             if isinstance(g, tuple):
-                rows, values = g[0].astype(np.uint16), g[1]  # numbers below 2^16, which sort in two passes
+                rows, values = g[0].astype(np.uint16 if len(p) <= 1 << 16 else np.uint32), g[1]  # numbers below 2^16 sort in two passes
                 if not len(rows):
                     continue
                 by = np.argsort(rows, kind="stable")
@@ -304,55 +325,74 @@ def contexts(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return near, far
 
 
-def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), dtype="<u2").astype(np.int64), np.cumsum([0, *(len(x) // 2 for x in texts)])
+def _laid_out(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=kind).astype(np.int64), np.cumsum([0, *(len(x) // int(kind[-1]) for x in texts)])
 
 
-def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], tokens: int, rounds: int = 2, shard_tokens: int = SHARD_TOKENS, rate: float = 0.15) -> np.ndarray:
-    """Flat parameters after all rows(doc_id, codes), which have so many tokens, were gone through once: a part of them in each round."""
-    flat = Model(*model).flat()
-    shards = max(1, round(tokens / shard_tokens))
+def schedule(tokens: int, shard_tokens: int = SHARD_TOKENS) -> tuple[int, int]:
+    """Rounds, and shards a round: a shard has half of shard_tokens tokens in a round."""
+    units = max(1.0, tokens / shard_tokens)
+    rounds = 2 * (1 + round(np.log2(units)))
+    return rounds, max(1, round(2 * units / rounds))
+
+
+def dealt(rows: DataFrame, rounds: int, shards: int) -> DataFrame:
+    """rows(doc_id, codes, ...) with round, shard and place, and in the order of the rounds, so that a round's pages can be read alone."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "codes")
-    dealt = rows.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("place"), F.pmod(F.xxhash64(key), F.lit(rounds)).alias("round"), "codes")
+    return rows.select("*", key.alias("place"), F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(key), F.lit(rounds)).cast("int").alias("round")).sortWithinPartitions("round")
+
+
+def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], rounds: int, kind: str = "<u2", rate: float = 0.15) -> np.ndarray:
+    """Flat parameters after all rows(codes, place, shard, round) were gone through once: a part of them in each round."""
+    flat = Model(*model).flat()
+    so_far = np.full(len(flat), 1e-6)
     for turn in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast((flat, model))  # of a stated size
+        shared = rows.sparkSession.sparkContext.broadcast((flat, so_far, model))  # of a stated size
 
         def run(key, table, *, shared=shared, turn=turn):
-            at, plan = shared.value
+            at, so_far, plan = shared.value
             model = Model(*plan).load(at)
-            steps, order = Adagrad(model, rate / (turn + 1)), np.random.default_rng([turn, key[0].as_py()])
+            steps, order = Adagrad(model, rate, so_far), np.random.default_rng([turn, key[0].as_py()])
+            before = flattened(steps.sum)
             texts = [x for _, x in sorted(zip(table.column("place").to_pylist(), table.column("codes").to_pylist(), strict=True))]
-            codes, ends = _laid_out(texts)
+            codes, ends = _laid_out(texts, kind)
             near, far = contexts(codes, ends)
             for i in range(0, len(codes), STEP):
                 block = (codes[i : i + STEP], near[i : i + STEP], far[i : i + STEP])
                 steps.step(model.gradient(*block, *model.drawn(block[0], order))[1])
-            return pa.table({"payload": pa.array([np.append(model.flat() * len(codes), len(codes)).tobytes()], type=pa.binary())})
+            weight = flattened(steps.sum) - before
+            return pa.table({"payload": pa.array([np.concatenate([(model.flat() - at) * weight, weight, [1.0]]).tobytes()], type=pa.binary())})
 
-        total = summed(dealt.where(F.col("round") == turn).groupBy("shard").applyInArrow(run, "payload binary"))
+        total = summed(rows.where(F.col("round") == turn).select("shard", "place", "codes").groupBy("shard").applyInArrow(run, "payload binary"))
         shared.unpersist()
         if total is None:
             continue
-        flat = (total[:-1] / total[-1]).astype(np.float32).astype(np.float64)
+        moves, weight = total[: len(flat)], total[len(flat) : -1]
+        flat = (flat + moves / np.maximum(weight, 1e-30)).astype(np.float32).astype(np.float64)
+        so_far = so_far + weight / total[-1]
     return flat
 
 
-def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OWN_WORDS, least_count: int = LEAST_COUNT, rounds: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OWN_WORDS, least_count: int = LEAST_COUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out (crc32 of the id as text modulo 5 is 1: held
-    out; a null id never is). own_words: how many words have vectors at most, of those seen
-    least_count times or more (below 2^16). Null texts are empty: one token, the end. Texts
-    count whole, however long; a long one stays within its shard. Without training rows
-    every count is 0. Repeated rows count as often as they are there. No rows give no rows.
-    Other columns are ignored. Partitions do not change the model; the order in which
-    shards' parameters are summed may change scores by rounding.
+    out; a null id never is). own_words: how many words have vectors at most with up to
+    SHARD_TOKENS training tokens, of those seen least_count times or more; with more tokens,
+    times the cube root of their number over that, up to head_words, the words whose counts
+    every task holds. Null texts are empty: one token, the end. Texts count whole, however
+    long; a long one stays within its shard, as do rows equal in id and text. Without
+    training rows every count is 0. Repeated rows count as often as they are there. No rows
+    give no rows. Other columns are ignored. Partitions do not change the model; the order
+    in which shards' parameters are summed may change scores by rounding.
     """
     held = F.coalesce((remainder(F.col("doc_id"), 5) == 1) & F.col("doc_id").isNotNull(), F.lit(False))
     counts = scratch(word_counts(docs.where(~held)), "word-counts")
-    v = Vocabulary(counts, head_words, min(own_words, 65_000), least_count)
-    base = scratch(as_codes(docs, v), "codes")
-    flat = train(base.where("not held_out"), v.model, v.tokens, rounds, shard_tokens)
+    v = Vocabulary(counts, head_words, own_words, least_count)
+    rounds, shards = schedule(v.tokens, shard_tokens)
+    base = scratch(dealt(as_codes(docs, v), rounds, shards), "codes")
+    code_kind = v.kind
+    flat = train(base.where("not held_out"), v.model, rounds, code_kind)
     shared = docs.sparkSession.sparkContext.broadcast((flat, v.model))  # of a stated size
     kind = docs.schema["doc_id"].dataType
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share"]
@@ -361,7 +401,7 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OW
         at, plan = shared.value
         model = Model(*plan).load(at)
         for b in batches:
-            codes, ends = _laid_out([x.as_py() for x in b.column(len(names))])
+            codes, ends = _laid_out([x.as_py() for x in b.column(len(names))], code_kind)
             each = model.log_probabilities(codes, *contexts(codes, ends))
             sums = np.add.reduceat(each, ends[:-1]) if len(each) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(sums + b.column(len(names) - 1).to_numpy())], names=[*names[:-1], "score"])

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from helpers import AWKWARD, docs, rows
 
-from molmill.llm.lm import CLASSES, GROUPS, SINGLES, WORD_NOISE, Model, Vocabulary, lm_scores, word_counts
+from molmill.llm.lm import CLASSES, GROUPS, OWN_WORDS, SHARD_TOKENS, SINGLES, WORD_NOISE, Model, Vocabulary, groups_of, lm_scores, schedule, word_counts, words_with_vectors
 
 DATA = "/root/testdata/sf0.01"
 
@@ -30,7 +30,7 @@ def counted(df):
 def test_counts_and_base_agree_with_brute_force(spark):
     given = AWKWARD + [(i, f"w{i % 7} common Common x{i} {'y ' * (i % 5)}") for i in range(20, 120)]
     for head in (100_000, 3):
-        got = lm_scores(docs(spark, given).selectExpr("*", "1 as row", "2 as n", "'x' as word", "0.5 as score"), head_words=head, rounds=1)
+        got = lm_scores(docs(spark, given).selectExpr("*", "1 as row", "2 as n", "'x' as word", "0.5 as score"), head_words=head)
         assert counted(got) == plain(given)
 
 
@@ -109,6 +109,33 @@ def test_more_words_with_vectors_score_better(spark):
     assert gain[4_096] > gain[192] and v[1] > v[0]
 
 
+def test_more_shards_do_not_flatten_the_model(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    gain = {}
+    for shard_tokens in (4_000_000, 15_000):
+        out = lm_scores(d, shard_tokens=shard_tokens).where("held_out").toPandas()
+        gain[shard_tokens] = (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum()
+    print("gain in log10 per token", gain)
+    assert gain[15_000] > 0.75 * gain[4_000_000]  # 10 rounds of 4 shards of 8,000 tokens; a shard by itself learns next to nothing
+
+
+def test_rounds_shards_words_and_groups_grow_with_the_tokens():
+    assert schedule(0) == schedule(SHARD_TOKENS) == (2, 1)
+    got = [schedule(SHARD_TOKENS * 4**k) for k in range(12)]
+    assert all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(got, got[1:]))
+    assert all(0.7 < r * s / (2 * 4**k) < 1.5 for k, (r, s) in enumerate(got))
+    assert words_with_vectors(100) == OWN_WORDS and words_with_vectors(8 * SHARD_TOKENS) == 2 * OWN_WORDS
+    assert groups_of(100) == groups_of(OWN_WORDS) == GROUPS and groups_of(4 * OWN_WORDS) == 2 * GROUPS
+
+
+def test_codes_beyond_two_bytes(spark):
+    given = [(i, " ".join(f"w{(i * 40 + j) % 70_000}" for j in range(40))) for i in range(3_600)]
+    got = lm_scores(docs(spark, given), own_words=70_000, least_count=1).toPandas()
+    assert len(got) == len(given) and np.isfinite(got.score).all() and (got.score < 0).all()
+    v = Vocabulary(word_counts(docs(spark, given)), own_words=70_000, least_count=1)
+    assert v.codes > 1 << 16 and v.kind == "<u4"
+
+
 def test_empty_table_and_all_held_out(spark):
     assert lm_scores(docs(spark, [])).count() == 0
     alone = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
