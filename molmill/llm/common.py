@@ -54,26 +54,31 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
         yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
 
 
-def summed(df: DataFrame, fan_in: int = 32) -> np.ndarray | None:
-    """The sum over all rows of df(payload binary: float64 array), every array as long as the others.
+def summed(df: DataFrame, parts: int | None = None, dtype: type = np.float64, fan_in: int = 32) -> np.ndarray | None:
+    """The sum over all rows of df(payload binary: array of dtype), every array as long as the others.
 
-    The first step leaves at most fan_in rows, the second one, so that the driver gets a
-    single array whatever the number of partitions. None if df is empty.
+    parts: how many rows there are at most, if known: then each step leaves one row of about
+    fan_in. Otherwise the first step leaves at most fan_in rows, the second one. So the driver
+    gets a single array whatever the number of partitions. Tasks add in double precision.
+    None if df is empty.
     """
+    steps = [fan_in, 1] if parts is None else [-(-parts // fan_in)]
+    while steps[-1] > 1:
+        steps.append(-(-steps[-1] // fan_in))
 
     def add(batches):
         total = None
         for b in batches:
             for x in b.column(0):
-                v = np.frombuffer(x.as_buffer(), dtype=np.float64)
-                total = v.copy() if total is None else np.add(total, v, out=total)
+                v = np.frombuffer(x.as_buffer(), dtype=dtype)
+                total = v.astype(np.float64) if total is None else np.add(total, v, out=total)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(dtype).tobytes()], type=pa.binary())], names=["payload"])
 
     one = df.select("payload")
-    for n in (fan_in, 1):
+    for n in steps:
         one = one.repartition(n).mapInArrow(add, "payload binary")
     rows = one.collect()
-    return np.frombuffer(rows[0][0], dtype=np.float64) if rows else None
+    return np.frombuffer(rows[0][0], dtype=dtype).astype(np.float64) if rows else None
 
 

@@ -152,8 +152,8 @@ def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=n - 1)
                 unknown = np.flatnonzero(at < 0).tolist()
                 places = at[at >= 0] if unknown else at
-                code = np.empty(n - 1, dtype=np.int64)
-                code[at >= 0] = v.code[places]
+                code = np.zeros(n, dtype=np.int64)  # the last is the end
+                code[:-1][at >= 0] = v.code[places]
                 rest = Counter(words[i] for i in unknown)
                 classes = {w: tail_class(w) for w in rest}
                 code[unknown] = [beyond + classes[words[i]] for i in unknown]
@@ -162,7 +162,7 @@ def as_codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 known.append(len(places) + (end >= 0))
                 base.append(float(v.log_count[places].sum()) + (float(v.log_count[end]) if end >= 0 else float(np.log10(0.5))) - n * float(v.log_base))
                 share.append(float(v.log_share[places].sum()) - float(k @ v.log_class[list(classes.values())]) if rest else float(v.log_share[places].sum()))
-                codes.append(np.append(code, 0).astype(v.kind).tobytes())
+                codes.append(code.astype(v.kind).tobytes())
                 tails.extend(rest)
                 times.append(k)
                 ends.append(ends[-1] + len(rest))
@@ -283,11 +283,14 @@ class Model:
 def _picked(q: np.ndarray, target: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log of the normalised probability of one target a row."""
     scores = q @ target.T
-    scores += bias
-    scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(q)), which].astype(np.float64)
-    total = np.exp(scores, out=scores) @ np.ones(len(target), dtype=scores.dtype)
-    return own - np.log(total.astype(np.float64))
+    own, factor = scores[np.arange(len(q)), which].astype(np.float64) + bias[which], np.exp(bias)
+    # No product is beyond those of the longest vectors; few are so long that exponentials need the largest one taken off.
+    if np.sqrt((q * q).sum(axis=1).max() * (target * target).sum(axis=1).max()) > 40 or np.abs(bias).max() > 40:
+        scores += bias
+        largest, factor = scores.max(axis=1, keepdims=True), np.ones_like(bias)
+        own -= largest[:, 0]
+        scores -= largest
+    return own - np.log((np.exp(scores, out=scores) @ factor).astype(np.float64))
 
 
 class Adagrad:
@@ -342,7 +345,7 @@ def dealt(rows: DataFrame, rounds: int, shards: int) -> DataFrame:
     return rows.select("*", key.alias("place"), F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(key), F.lit(rounds)).cast("int").alias("round")).sortWithinPartitions("round")
 
 
-def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], rounds: int, kind: str = "<u2", rate: float = 0.15) -> np.ndarray:
+def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], rounds: int, shards: int, kind: str = "<u2", rate: float = 0.15) -> np.ndarray:
     """Flat parameters after all rows(codes, place, shard, round) were gone through once: a part of them in each round."""
     flat = Model(*model).flat()
     so_far = np.full(len(flat), 1e-6)
@@ -361,9 +364,9 @@ def train(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], rounds: int, ki
                 block = (codes[i : i + STEP], near[i : i + STEP], far[i : i + STEP])
                 steps.step(model.gradient(*block, *model.drawn(block[0], order))[1])
             weight = flattened(steps.sum) - before
-            return pa.table({"payload": pa.array([np.concatenate([(model.flat() - at) * weight, weight, [1.0]]).tobytes()], type=pa.binary())})
+            return pa.table({"payload": pa.array([np.concatenate([(model.flat() - at) * weight, weight, [1.0]]).astype(np.float32).tobytes()], type=pa.binary())})
 
-        total = summed(rows.where(F.col("round") == turn).select("shard", "place", "codes").groupBy("shard").applyInArrow(run, "payload binary"))
+        total = summed(rows.where(F.col("round") == turn).select("shard", "place", "codes").groupBy("shard").applyInArrow(run, "payload binary"), shards, np.float32)
         shared.unpersist()
         if total is None:
             continue
@@ -392,7 +395,7 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, own_words: int = OW
     rounds, shards = schedule(v.tokens, shard_tokens)
     base = scratch(dealt(as_codes(docs, v), rounds, shards), "codes")
     code_kind = v.kind
-    flat = train(base.where("not held_out"), v.model, rounds, code_kind)
+    flat = train(base.where("not held_out"), v.model, rounds, shards, code_kind)
     shared = docs.sparkSession.sparkContext.broadcast((flat, v.model))  # of a stated size
     kind = docs.schema["doc_id"].dataType
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share"]

@@ -5,7 +5,9 @@ from collections import Counter
 
 import numpy as np
 from helpers import AWKWARD, docs, rows
+from pyspark.sql import functions as F
 
+from molmill.llm.common import summed
 from molmill.llm.lm import CLASSES, GROUPS, OWN_WORDS, SHARD_TOKENS, SINGLES, WORD_NOISE, Model, Vocabulary, groups_of, lm_scores, schedule, word_counts, words_with_vectors
 
 DATA = "/root/testdata/sf0.01"
@@ -57,6 +59,22 @@ def test_the_model_is_normalised():
         assert np.isclose(p.sum(), 1, atol=1e-5)
 
 
+def test_long_vectors_are_normalised_too():
+    m, r = small_model()
+    m.part["target"] *= 300
+    m.part["word"] *= 300
+    every = np.arange(m.codes)
+    got = m.log_probabilities(every, np.full(m.codes, 3), np.full(m.codes, 200))
+    assert np.isfinite(got).all() and np.isclose((10.0**got).sum(), 1, atol=1e-4)
+
+
+def test_sums_in_steps_of_any_number(spark):
+    for parts in (1, 5, 40, 1100):
+        given = spark.range(parts).select(F.lit(np.array([1, 2.5], dtype=np.float32).tobytes()).alias("payload"))
+        assert summed(given, parts, np.float32, fan_in=8).tolist() == [parts, 2.5 * parts]
+    assert summed(given.where("false"), 5, np.float32) is None
+
+
 def test_the_gradient_agrees_with_differences():
     m, r = small_model()
     m.part = {k: p.astype(np.float64) for k, p in m.part.items()}
