@@ -182,6 +182,14 @@ def _log_sigmoid(x: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, -x)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def flattened(part: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in part.values()]).astype(np.float64)
 
@@ -224,7 +232,7 @@ class Model:
 
     def vectors(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         p = self.part
-        return p["context"][near] @ p["near"] + p["context"][far] @ p["far"]
+        return p["context"].take(near, axis=0) @ p["near"] + p["context"].take(far, axis=0) @ p["far"]
 
     def drawn(self, token: np.ndarray, order: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Noise: NOISE symbols for all tokens, and WORD_NOISE words of its own group for each token that has one."""
@@ -238,27 +246,31 @@ class Model:
     def gradient(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, words: np.ndarray, objective: bool = False) -> tuple[float | None, dict]:
         """The noise-contrastive objective of tokens after contexts, if asked for, and its gradient: rows and their values for tables, arrays for the matrices."""
         p = self.part
-        one, two = p["context"][near], p["context"][far]
+        one, two = p["context"].take(near, axis=0), p["context"].take(far, axis=0)
         q = one @ p["near"] + two @ p["far"]
-        s = self.symbol[token]
-        own = p["target"][s]
-        true = np.einsum("bd,bd->b", q, own) + p["bias"][s] - self.log_noise[s]
-        fake = q @ p["target"][noise].T + p["bias"][noise] - self.log_noise[noise]
-        up, down = 1 / (1 + np.exp(np.clip(true, -30, 30))), -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        dq = up[:, None] * own + down @ p["target"][noise]
+        s = self.symbol.take(token)
+        own, noise_target, offset = p["target"].take(s, axis=0), p["target"].take(noise, axis=0), p["bias"] - self.log_noise
+        true, fake = np.einsum("bd,bd->b", q, own) + offset.take(s), q @ noise_target.T + offset.take(noise)
+        up, down = _sigmoid(-true), -_sigmoid(fake)
+        dq = up[:, None] * own + down @ noise_target
         at = np.flatnonzero((s >= SINGLES) & (s < SINGLES + self.groups))
-        w, q2 = token[at] - SINGLES, q[at]
-        own_words, far_words = p["word"][w], p["word"][words]
-        true2 = np.einsum("bd,bd->b", q2, own_words) + p["word_bias"][w] - self.log_word_noise[w]
-        fake2 = np.einsum("bkd,bd->bk", far_words, q2) + p["word_bias"][words] - self.log_word_noise[words]
-        up2, down2 = 1 / (1 + np.exp(np.clip(true2, -30, 30))), -1 / (1 + np.exp(np.clip(-fake2, -30, 30)))
+        w, q2 = token.take(at) - SINGLES, q.take(at, axis=0)
+        own_words, far_words, offset = p["word"].take(w, axis=0), p["word"].take(words, axis=0), p["word_bias"] - self.log_word_noise
+        true2, fake2 = np.einsum("bd,bd->b", q2, own_words) + offset.take(w), np.einsum("bkd,bd->bk", far_words, q2) + offset.take(words)
+        up2, down2 = _sigmoid(-true2), -_sigmoid(fake2)
         dq[at] += up2[:, None] * own_words + np.einsum("bk,bkd->bd", down2, far_words)
-        word_rows = np.concatenate([w, words.ravel()])
+        symbol_rows, word_rows = np.concatenate([s, noise]), np.concatenate([w, words.ravel()])
+        # A token's nearest word is the next token's second one, but where a text begins: the word's row moves once by the sum.
+        d_near, d_far = dq @ p["near"].T, dq @ p["far"].T
+        shared = np.zeros(len(token), dtype=bool)
+        shared[1:] = far[1:] == near[:-1]
+        alone = np.flatnonzero(~shared)
+        d_near[:-1] += d_far[1:] * shared[1:, None]
         value = sum(float(_log_sigmoid(x.astype(np.float64)).sum()) for x in (true, -fake, true2, -fake2)) if objective else None
         return value, {
             "near": one.T @ dq, "far": two.T @ dq,
-            "context": (np.concatenate([near, far]), np.concatenate([dq @ p["near"].T, dq @ p["far"].T])),
-            "target": (np.concatenate([s, noise]), np.concatenate([up[:, None] * q, down.T @ q])), "bias": (np.concatenate([s, noise]), np.concatenate([up, down.sum(axis=0)])),
+            "context": (np.concatenate([near, far.take(alone)]), np.concatenate([d_near, d_far.take(alone, axis=0)])),
+            "target": (symbol_rows, np.concatenate([up[:, None] * q, down.T @ q])), "bias": (symbol_rows, np.concatenate([up, down.sum(axis=0)])),
             "word": (word_rows, np.concatenate([up2[:, None] * q2, (down2[:, :, None] * q2[:, None, :]).reshape(-1, WIDTH)])), "word_bias": (word_rows, np.concatenate([up2, down2.ravel()])),
         }
 
@@ -267,15 +279,16 @@ class Model:
         p, out = self.part, np.empty(len(token))
         for at in range(0, len(token), 1 << 17):
             t = token[at : at + (1 << 17)]
-            q, s = self.vectors(near[at : at + len(t)], far[at : at + len(t)]), self.symbol[t]
+            q, s = self.vectors(near[at : at + len(t)], far[at : at + len(t)]), self.symbol.take(t)
             got = np.concatenate([_picked(q[i : i + SCORED], p["target"], p["bias"], s[i : i + SCORED]) for i in range(0, len(t), SCORED)])
+            s = s.astype(np.uint16 if len(p["bias"]) <= 1 << 16 else np.uint32)  # numbers below 2^16 sort in two passes
             by = np.argsort(s, kind="stable")
-            ends = np.searchsorted(s[by], np.arange(SINGLES, SINGLES + self.groups + 1))
+            ends = np.searchsorted(s.take(by), np.arange(SINGLES, SINGLES + self.groups + 1))
             for g in range(self.groups):
                 some = by[ends[g] : ends[g + 1]]
                 low, high = self.first[g] - SINGLES, self.first[g + 1] - SINGLES
                 if len(some):
-                    got[some] += _picked(q[some], p["word"][low:high], p["word_bias"][low:high], t[some] - self.first[g])
+                    got[some] += _picked(q.take(some, axis=0), p["word"][low:high], p["word_bias"][low:high], t.take(some) - self.first[g])
             out[at : at + len(t)] = got
         return out / np.log(10)
 
@@ -283,9 +296,9 @@ class Model:
 def _picked(q: np.ndarray, target: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log of the normalised probability of one target a row."""
     scores = q @ target.T
-    own, factor = scores[np.arange(len(q)), which].astype(np.float64) + bias[which], np.exp(bias)
+    own, factor = scores.ravel().take(np.arange(len(q)) * len(bias) + which).astype(np.float64) + bias[which], np.exp(bias)
     # No product is beyond those of the longest vectors; few are so long that exponentials need the largest one taken off.
-    if np.sqrt((q * q).sum(axis=1).max() * (target * target).sum(axis=1).max()) > 40 or np.abs(bias).max() > 40:
+    if np.sqrt(np.einsum("bd,bd->b", q, q).max() * np.einsum("bd,bd->b", target, target).max()) > 40 or np.abs(bias).max() > 40:
         scores += bias
         largest, factor = scores.max(axis=1, keepdims=True), np.ones_like(bias)
         own -= largest[:, 0]
@@ -302,24 +315,50 @@ class Adagrad:
         self.sum = shaped(so_far, model.part)
 
     def step(self, gradient: dict) -> None:
+        last, rows = None, None
         for k, g in gradient.items():
             p, total = self.model.part[k], self.sum[k]
             if isinstance(g, tuple):
-                rows, values = g[0].astype(np.uint16 if len(p) <= 1 << 16 else np.uint32), g[1]  # numbers below 2^16 sort in two passes
-                if not len(rows):
+                if not len(g[0]):
                     continue
-                by = np.argsort(rows, kind="stable")
-                rows = rows[by]
-                start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                rows, g = rows[start].astype(np.intp), np.add.reduceat(values[by], start, axis=0)
-                now = total[rows] + g * g
-                total[rows] = now
-                p[rows] += self.rate * g / np.sqrt(now)
+                if g[0] is not last:  # a table and its biases have the same rows
+                    last, rows = g[0], _Rows(g[0], len(p))
+                g = rows.added(g[1])
+                now = total.take(rows.rows, axis=0)
+                now += g * g
+                total[rows.rows] = now
+                g *= self.rate
+                g /= np.sqrt(now, out=now)
+                g += p.take(rows.rows, axis=0)
+                p[rows.rows] = g
             else:
                 total += g * g
                 p += self.rate * g / np.sqrt(total)
 
 
+class _Rows:
+    """The different rows among those of a gradient, and sums by them."""
+
+    def __init__(self, rows: np.ndarray, size: int):
+        rows = rows.astype(np.uint16 if size <= 1 << 16 else np.uint32)  # numbers below 2^16 sort in two passes
+        self.by = np.argsort(rows, kind="stable")
+        rows = rows.take(self.by)
+        self.start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        self.rows, times = rows.take(self.start).astype(np.intp), np.diff(self.start, append=len(rows))
+        # Most rows are there once and need no sum.
+        self.first, self.often = self.by.take(self.start), np.flatnonzero(times > 1)
+        self.repeats, some = self.by[np.repeat(times > 1, times)], times.take(self.often)
+        self.begin = np.cumsum(some) - some
+
+    def added(self, values: np.ndarray) -> np.ndarray:
+        if values.ndim == 1:
+            return np.add.reduceat(values.take(self.by), self.start)
+        out = values.take(self.first, axis=0)
+        if len(self.often):
+            out[self.often] = np.add.reduceat(values.take(self.repeats, axis=0), self.begin, axis=0)
+        return out
+
+
 def contexts(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The token before each one, and the one before that, in texts laid end to end; a text starts after two ends (code 0)."""
     near, far = np.zeros_like(codes), np.zeros_like(codes)
