@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import plain_unions
 from .rings import blocks, core
 
 
 def _graphs(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """mol_id, atoms (sorted array), i and j of the bonds."""
+    plain_unions(bonds.sparkSession)
     a = atoms.groupBy("mol_id").agg(F.sort_array(F.collect_set("atom_idx")).alias("atoms"))
     b = bonds.groupBy("mol_id").agg(F.sort_array(F.collect_set(F.struct("i", "j"))).alias("b"))
     none = F.array().cast("array<long>")
