@@ -15,7 +15,7 @@ def exchanged(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["g1_largest_fragment", "g2_ring_counts", "j7_connected_fragments"])
+@pytest.mark.parametrize("name", ["g1_largest_fragment", "g2_ring_counts", "j7_connected_fragments", "j7_fragment_candidates"])
 def test_exchanges_change_nothing(spark, exchanged, name):
     got = []
     for on in (False, True):
