@@ -264,11 +264,14 @@ def random_pose(atoms: DataFrame, seed: str, max_shift: float, tries: int = 8, s
 
 
 def bond_lengths(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """bonds with length, stretch (over the sum of covalent radii) and log_stretch (|log2 stretch|)."""
-    end = lambda k: atoms.select("mol_id", F.col("atom_idx").alias(k), *(F.col(c).alias(f"{k}{c}") for c in XYZ), literal_map(RADIUS)[F.col("atomic_num")].alias(f"{k}r"))
+    """bonds with length, stretch (over the sum of covalent radii) and log_stretch (|log2 stretch|).
+
+    Radii are added as decimals and rounded once, so that equal sums are equal and ties of stretches stay ties.
+    """
+    end = lambda k: atoms.select("mol_id", F.col("atom_idx").alias(k), *(F.col(c).alias(f"{k}{c}") for c in XYZ), literal_map(RADIUS)[F.col("atomic_num")].cast("decimal(9,4)").alias(f"{k}r"))
     both = bonds.join(end("i"), ["mol_id", "i"]).join(end("j"), ["mol_id", "j"])
     length = distance(_at("i"), _at("j"))
-    stretch = length / (F.col("ir") + F.col("jr"))
+    stretch = length / (F.col("ir") + F.col("jr")).cast("double")
     return both.select("mol_id", "i", "j", "bond_order", length.alias("length"), stretch.alias("stretch"), F.abs(F.log2(stretch)).alias("log_stretch"))
 
 
