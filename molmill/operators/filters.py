@@ -152,6 +152,14 @@ def excluded_names(rows: DataFrame, name: str, parts=("readme", "index", ".txt")
     return rows if allow is None else rows.join(allow.select(F.col("name").alias(name)).distinct(), name, "left_semi")
 
 
+def centres(atoms: DataFrame, key: str = "mol_id") -> DataFrame:
+    """key, cx, cy, cz: the mean place of a key's atoms, added up in the order of atom_idx, so that the last digit does not follow how rows are dealt."""
+    order = Window.partitionBy(key).orderBy("atom_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"c{a}" for a in AXES]
+    running = atoms.select(key, "atom_idx", *(F.avg(a).over(order).alias(n) for a, n in zip(AXES, names, strict=True)))
+    return running.groupBy(key).agg(*(F.max_by(n, "atom_idx").alias(n) for n in names))
+
+
 def within_radius(atoms: DataFrame, centres: DataFrame, key: str, radius: float) -> DataFrame:
     """Atoms nearer than radius to the centre(key, cx, cy, cz) of their key."""
     return atoms.join(centres, key).where(distance(tuple(map(F.col, AXES)), tuple(F.col(f"c{a}") for a in AXES)) < radius).drop("cx", "cy", "cz")
