@@ -46,3 +46,18 @@ def test_complex_rows_do_not_grow(spark):
     """Ten times the table makes more rows of complexes, not larger ones."""
     small, large = ([x["count"] for x in QUERIES["k3_complex_rows"](spark, f"/root/testdata/{sf}").groupBy("pdb_id").count().collect()] for sf in ("sf0.001", "sf0.01"))
     assert len(large) > 5 * len(small) and max(large) < 2 * max(small)
+
+
+@pytest.mark.parametrize("cutoff", [0.4, 0.6, 1.0])
+def test_dense_groups_make_no_links(spark, cutoff, monkeypatch):
+    """With every group counted as dense, the clusters are the sequential loop's, and no pair of fingerprints becomes a row."""
+    group = {m: None if m % 37 == 36 else int(m % 10 == 9) for m in WORDS}
+    fps = spark.createDataFrame([(m, group[m], w) for m, w in WORDS.items()], "mol_id long, grp long, words array<long>")
+    written = {}
+    kept = L.scratch
+    monkeypatch.setattr(L, "scratch", lambda df, name: written.setdefault(name, []).append(kept(df, name)) or written[name][-1])
+    got = L.butina(fps, cutoff, at_once=0, dense=0).collect()
+    for g in (0, 1):
+        assert {x.mol_id: x.cluster for x in got if x.grp == g} == plain([m for m in WORDS if group[m] == g], cutoff)
+    assert sorted(x.mol_id for x in got if x.grp is None) == [m for m in WORDS if group[m] is None]
+    assert all(x.isEmpty() for x in written["links"])
