@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molmill.operators import similarity as L
+from molmill.operators.scores import diverse_top
 from molmill.plans.queries import QUERIES
 
 R = random.Random(5)
@@ -61,3 +62,11 @@ def test_dense_groups_make_no_links(spark, cutoff, monkeypatch):
         assert {x.mol_id: x.cluster for x in got if x.grp == g} == plain([m for m in WORDS if group[m] == g], cutoff)
     assert sorted(x.mol_id for x in got if x.grp is None) == [m for m in WORDS if group[m] is None]
     assert all(x.isEmpty() for x in written["links"])
+
+
+def test_diverse_selection_of_dense_groups(spark):
+    """The best of each cluster are the same with and without links."""
+    fps = spark.createDataFrame([(m, m % 3, w) for m, w in WORDS.items()], "mol_id long, grp long, words array<long>")
+    pick = lambda rows: sorted(map(tuple, diverse_top(rows.withColumn("affinity", -(F.col("mol_id") * 37 % 101).cast("double")), 5, "affinity", by=("grp",), tie="mol_id").select("grp", "mol_id", "cluster").collect()))
+    got, want = pick(L.butina(fps, 0.6, at_once=0, dense=0)), pick(L.butina(fps, 0.6))
+    assert got == want and len(got) == 15
