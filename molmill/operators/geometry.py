@@ -51,6 +51,29 @@ def near_pairs(left: DataFrame, right: DataFrame, key: str, radius: float) -> Da
     return spread.join(r, [key, *cells]).withColumn("d", distance(_at(), _at("r_"))).where(F.col("d") <= radius).drop(*cells)
 
 
+FEW = 256  # points of a key up to which all pairs of it cost less than sending points to 27 cells
+
+
+def _few_and_many(left: DataFrame, right: DataFrame, key: str) -> list[tuple[DataFrame, DataFrame, bool]]:
+    """left and right in parts, and whether the keys of a part have no more than FEW points on either side."""
+    sides = [left] if left is right else [left, right]
+    over = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(key) for rows in sides)
+    many = scratch(reduce(DataFrame.union, over).distinct(), "many")
+    if many.isEmpty():
+        return [(left, right, True)]
+    return [(*(side.join(many, key, kind) for side in (left, right)), kind == "left_anti") for kind in ("left_anti", "left_semi")]
+
+
+def _near_parts(left: DataFrame, right: DataFrame, key: str, radius: float) -> list[tuple[DataFrame, bool]]:
+    """near_pairs in parts: keys of few points, which meet by their key alone, and the others, which go to cells."""
+
+    def by_key(a, b):
+        r = b.select(F.col(key), *(F.col(c).alias(f"r_{c}") for c in b.columns if c != key))
+        return a.join(r, key).withColumn("d", distance(_at(), _at("r_"))).where(F.col("d") <= radius)
+
+    return [((by_key if few else lambda a, b: near_pairs(a, b, key, radius))(a, b), few) for a, b, few in _few_and_many(left, right, key)]
+
+
 def pocket(receptor: DataFrame, ligand: DataFrame, radius: float = 8.0, key: str = "pdb_id") -> DataFrame:
     """Receptor atoms of every residue that has an atom within radius of a ligand atom; radius 0 or less is the whole receptor."""
     if radius <= 0:
@@ -120,10 +143,17 @@ def connected_fragments(atoms: DataFrame, bonds: DataFrame, frags: DataFrame, ra
     return _each(groups, join, "mol_id long, i long, j long, d double")
 
 
-def _sizes(pairs: DataFrame, key: str, at_once: int) -> tuple[DataFrame, DataFrame | None]:
-    """pairs of keys with at most at_once of them, and the others; None without any."""
+def _sizes(parts: list[tuple[DataFrame, bool]], key: str, at_once: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of keys with at most at_once of them, and the others; None without any. Keys of few points are not counted."""
+    few = [pairs for pairs, few in parts if few and FEW * FEW <= at_once]
+    rest = [pairs for pairs, few in parts if not few or FEW * FEW > at_once]
+    if not rest:
+        return few[0], None
+    pairs = reduce(DataFrame.unionByName, rest)
     large = scratch(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).select(key), "large")
-    return (pairs, None) if large.isEmpty() else (pairs.join(large, key, "left_anti"), scratch(pairs.join(large, key, "left_semi"), "pairs"))
+    if large.isEmpty():
+        return reduce(DataFrame.unionByName, [*few, pairs]), None
+    return reduce(DataFrame.unionByName, [*few, pairs.join(large, key, "left_anti")]), scratch(pairs.join(large, key, "left_semi"), "pairs")
 
 
 def _matched(near: DataFrame, key: str) -> DataFrame:
@@ -148,8 +178,8 @@ def greedy_pairs(a: DataFrame, b: DataFrame, key: str = "mol_id", radius: float
     Of equal distances the lower i, then j, comes first. A key with more than at_once near
     pairs is paired by joins, in rounds; the others are each one task's work.
     """
-    near = near_pairs(a.select(key, "idx", *XYZ), b.select(key, "idx", *XYZ), key, radius).select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"), "d")
-    small, large = _sizes(near, key, at_once)
+    near = _near_parts(a.select(key, "idx", *XYZ), b.select(key, "idx", *XYZ), key, radius)
+    small, large = _sizes([(rows.select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"), "d"), few) for rows, few in near], key, at_once)
     listed = small.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "i", "j"))).alias("near"))
 
     def pair(k, found):
@@ -191,7 +221,7 @@ def _wider(boxes: DataFrame, key: str, level: int) -> DataFrame:
 def nearest_point(candidates: DataFrame, points: DataFrame, key: str = "mol_id", radius: float = 2.0) -> DataFrame:
     """Per candidate(key, idx) the nearest of the points(key, p) of its key, and how far it is; of equals the first.
 
-    Candidates with a point within radius are settled by a join of cells. The others go
+    Keys of FEW candidates and points at most meet whole. In the others, candidates with a point within radius are settled by a join of cells. The others go
     down a tree of cells, each half as wide as the one above: of a candidate's open cells those stay whose nearest
     corner is no further than the furthest of the best one's, so that in the end it meets
     the points of a few cells only, however far they are and however many lie together. Candidates and points
@@ -200,8 +230,15 @@ def nearest_point(candidates: DataFrame, points: DataFrame, key: str = "mol_id",
     whole = lambda rows, *c: rows.where(reduce(and_, (F.col(v).isNotNull() & ~F.isnan(v) for v in XYZ))).select(key, *c, *(F.col(v).cast("double").alias(v) for v in XYZ))
     c, p = whole(candidates, "idx"), whole(points, "p")
     best = lambda rows, of: rows.groupBy(key, "idx").agg(F.min(F.struct("d", of)).alias("b")).select(key, "idx", F.col(f"b.{of}").alias("p"), F.col("b.d").alias("d"))
+    parts = _few_and_many(c, p, key)
+    all_of = lambda a, b: best(a.join(b.select(key, F.col("p").alias("r_p"), *(F.col(v).alias(f"r_{v}") for v in XYZ)), key).withColumn("d", distance(_at(), _at("r_"))), "r_p")
+    settled = [all_of(a, b) for a, b, few in parts if few]
+    if len(parts) == 1:
+        return settled[0]
+    c, p = parts[1][:2]
     near = scratch(best(near_pairs(c, p, key, radius), "r_p"), "near")
     left = scratch(c.join(near.select(key, "idx"), [key, "idx"], "left_anti").join(p.select(key).distinct(), key, "left_semi"), "far")
+    near = near.unionByName(settled[0])
     if left.isEmpty():
         return near
     boxes = scratch(_boxes(p, key, radius), "boxes")
@@ -331,9 +368,9 @@ def pruned(points: DataFrame, radius: float = 0.9, key: str = "mol_id", at_once:
 
     A key with more than at_once near pairs is settled by joins, in rounds; the others are each one task's work.
     """
-    both = near_pairs(points.select(key, "idx", *XYZ), points.select(key, "idx", "fixed", *XYZ), key, radius)
-    close = both.where("idx < r_idx and not r_fixed").where(F.col("d") < radius).select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"))
-    small, large = _sizes(close, key, at_once)
+    rows = points.select(key, "idx", "fixed", *XYZ)
+    close = lambda both: both.where("idx < r_idx and not r_fixed").where(F.col("d") < radius).select(key, F.col("idx").alias("i"), F.col("r_idx").alias("j"))
+    small, large = _sizes([(close(both), few) for both, few in _near_parts(rows, rows, key, radius)], key, at_once)
 
     def drop(k, found):
         gone: set = set()
