@@ -1,13 +1,15 @@
 """Atoms to sparse voxel grids and back. Only voxels that are not zero are rows."""
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.expr import distance, in_bounds, to_voxel, uniform
+from ..storage import scratch
 
 XYZ = ("x", "y", "z")
 VOXEL = ("ix", "iy", "iz")
@@ -113,22 +115,47 @@ def steric_overlap(ligand: DataFrame, protein: DataFrame) -> DataFrame:
     return both.groupBy("mol_id").agg(F.sum(F.col("most") * part).alias("overlap"))
 
 
+def _empty_border(points: DataFrame, voxels: DataFrame, side: int, edge: int = 8) -> DataFrame:
+    """points(mol_id, atom_idx, channel, n, ix, iy, iz) with empty, the border voxels (ix, iy, iz) of each that are in the grid and not among voxels.
+
+    Voxels meet points as blocks of edge a side, of which a point borders eight at most and
+    mostly one or two, and not as one row for each of its 26 border voxels.
+    """
+    block = [f"b{c}" for c in XYZ]
+    key = ["mol_id", "channel"]
+    code = lambda v: (v[0] % edge * edge + v[1] % edge) * edge + v[2] % edge
+    full = voxels.select(*key, *(F.floor(F.col(i) / edge).cast("int").alias(b) for i, b in zip(VOXEL, block, strict=True)), code([F.col(i) for i in VOXEL]).alias("code"))
+    full = full.groupBy(*key, *block).agg(F.collect_set("code").alias("full"))
+    met = points.where(" and ".join(f"{i} between -1 and {side}" for i in VOXEL))
+    for i, b in zip(VOXEL, block, strict=True):
+        low, high = (F.floor(v / edge).cast("int") for v in (F.greatest(F.col(i) - 1, F.lit(0)), F.least(F.col(i) + 1, F.lit(side - 1))))
+        met = met.withColumn(b, F.explode(F.sequence(low, high)))
+    border = F.array(*(F.struct(*((F.col(i) + v).alias(i) for i, v in zip(VOXEL, o, strict=True))) for o in BORDER))
+    here = lambda o: reduce(and_, ((o[i] >= F.greatest(F.lit(0), F.col(b) * edge)) & (o[i] < F.least(F.lit(side), F.col(b) * edge + edge)) for i, b in zip(VOXEL, block, strict=True)))
+    empty = F.filter(border, lambda o: here(o) & (F.col("full").isNull() | ~F.array_contains("full", code([o[i] for i in VOXEL]))))
+    each = met.join(full, [*key, *block], "left").select(*points.columns, empty.alias("empty"))
+    return each.groupBy(*points.columns).agg(F.flatten(F.collect_list("empty")).alias("empty"))
+
+
 def with_encoding_noise(voxels: DataFrame, points: DataFrame, p: float, seed: str, side: int = 48) -> DataFrame:
     """The grid with noise: at a share p of the points, one to four empty border voxels of the point's box get a uniform share of the grid's greatest value.
 
-    n border voxels are filled with a probability in proportion to 10^-n.
+    n border voxels are filled with a probability in proportion to 10^-n. The grid is made once and read from the shared folder.
     """
+    voxels = scratch(voxels.select("mol_id", "channel", *VOXEL, "v"), "voxels")
     most = voxels.groupBy("mol_id").agg(F.max("v").alias("most"))
     u = lambda name, *more: uniform(f"{seed}{name}", F.col("mol_id"), F.col("atom_idx"), F.col("channel"), *more)
     steps = np.cumsum([10.0**-n for n in range(1, 5)]) / sum(10.0**-n for n in range(1, 5))
     n = F.lit(4)
     for k in (3, 2, 1):
         n = F.when(u("n") < float(steps[k - 1]), k).otherwise(n)
-    some = points.where(u("point") < p).withColumn("n", n)
-    cells = _around(some, BORDER).where(" and ".join(f"{i} between 0 and {side - 1}" for i in VOXEL)).join(voxels.select("mol_id", "channel", *VOXEL), ["mol_id", "channel", *VOXEL], "left_anti")
+    some = points.where(u("point") < p).select("mol_id", "atom_idx", "channel", n.alias("n"), *(F.rint(c).cast("int").alias(i) for i, c in zip(VOXEL, XYZ, strict=True)))
+    empty = _empty_border(some, voxels, side)
+    at = {i: (lambda o, i=i: o[i]) for i in VOXEL}
+    ordered = F.array_sort(F.transform("empty", lambda o: F.struct(u("order", *(f(o) for f in at.values())).alias("u"), *(f(o).alias(i) for i, f in at.items()))))
+    chosen = empty.select("mol_id", "atom_idx", "channel", F.explode(F.slice(ordered, F.lit(1), F.col("n"))).alias("o"))
+    chosen = chosen.select("mol_id", "atom_idx", "channel", *(F.col(f"o.{i}").alias(i) for i in VOXEL)).join(most, "mol_id")
     ident = tuple(map(F.col, VOXEL))
-    order = Window.partitionBy("mol_id", "atom_idx", "channel").orderBy(u("order", *ident), *VOXEL)
-    chosen = cells.withColumn("nth", F.row_number().over(order)).where("nth <= n").join(most, "mol_id")
     noise = chosen.select("mol_id", "channel", *VOXEL, (u("value", *ident) * F.col("most")).alias("v")).groupBy("mol_id", "channel", *VOXEL).agg(F.max("v").alias("v"))
     return voxels.select("mol_id", "channel", *VOXEL, "v").unionByName(noise)
 
